@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "bpe", "token_counts", "packing")
+MODULES = ("sharding", "bpe", "token_counts", "packing", "language_id")
 
 
 def queries() -> dict:
