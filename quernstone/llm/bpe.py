@@ -26,6 +26,7 @@ from .word_cache import WordCache
 NONE = np.int32(2**31 - 1)
 #: Matrix widths in bytes; longer words take the heap.
 WIDTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 128)
+WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDTHS[-1] + 1)]
 CELLS = 1 << 20
 
 
@@ -68,37 +69,23 @@ class PairTable:
         return out.reshape(shape)
 
 
-class ByteBPE:
-    """Encoder and decoder for ranks in the tiktoken format; a token's id is its rank."""
+class Merger:
+    """Merges words of bytes. first and last give the id of a byte within a word and at its end; a merged token's id is
+    also its rank."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
-        import regex
+    def __init__(self, first: np.ndarray, last: np.ndarray, pairs: dict[tuple[int, int], int]):
+        self.first, self.last, self.pairs, self.table = first, last, pairs, PairTable(pairs)
+        self.pad = 1 + max(int(first.max()), int(last.max()), *pairs.values())
 
-        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
-        self.token = {i: t for t, i in self.rank.items()}
-        self.single = np.array([self.rank[bytes([i])] for i in range(256)], np.int64)
-        self.pad = max(self.token) + 1
-        pairs = {}
-        for token, i in self.rank.items():
-            for cut in range(1, len(token)):
-                a, b = self.rank.get(token[:cut]), self.rank.get(token[cut:])
-                if a is not None and b is not None:
-                    pairs[a, b] = i
-        self.pairs, self.table = pairs, PairTable(pairs)
-        self.cache = WordCache(regex.compile(pattern).findall, self.encode_words)
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
+    def merge(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit integers. No word is empty."""
+        out: list[bytes] = [b""] * len(raws)
         rows: dict[int, list[tuple[int, bytes]]] = {w: [] for w in WIDTHS}
-        for i, word in enumerate(words):
-            raw = word.encode()
-            whole = self.rank.get(raw)
-            if whole is not None:
-                out[i] = whole.to_bytes(4, "little")
-            elif len(raw) > WIDTHS[-1]:
+        for i, raw in enumerate(raws):
+            if len(raw) > WIDTHS[-1]:
                 out[i] = self._heap(raw)
             else:
-                rows[next(w for w in WIDTHS if len(raw) <= w)].append((i, raw))
+                rows[WIDTH_OF[len(raw)]].append((i, raw))
         for width, group in rows.items():
             step = max(1, CELLS // width)
             for k in range(0, len(group), step):
@@ -108,7 +95,10 @@ class ByteBPE:
     def _matrix(self, group: list[tuple[int, bytes]], width: int, out: list[bytes]) -> None:
         where = np.array([i for i, _ in group])
         size = np.array([len(raw) for _, raw in group])
-        ids = self.single[np.frombuffer(b"".join(raw.ljust(width, b"\0") for _, raw in group), np.uint8).reshape(-1, width)]
+        raw = np.frombuffer(b"".join([raw.ljust(width, b"\0") for _, raw in group]), np.uint8).reshape(-1, width)
+        ids = self.first[raw]
+        row = np.arange(len(size))
+        ids[row, size - 1] = self.last[raw[row, size - 1]]
         ids[np.arange(width) >= size[:, None]] = self.pad
         ranks = self.table.ranks(ids[:, :-1], ids[:, 1:])
         while len(where):
@@ -137,7 +127,8 @@ class ByteBPE:
             ranks[row[has], at[has]] = self.table.ranks(ids[row[has], at[has]], ids[row[has], at[has] + 1])
 
     def _heap(self, raw: bytes) -> bytes:
-        ids = self.single[np.frombuffer(raw, np.uint8)].tolist()
+        ids = self.first[np.frombuffer(raw, np.uint8)].tolist()
+        ids[-1] = int(self.last[raw[-1]])
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = lambda i: self.pairs.get((ids[i], ids[after[i]])) if after[i] < n else None
@@ -157,6 +148,32 @@ class ByteBPE:
                     heapq.heappush(heap, (q, k, ids[k], ids[after[k]]))
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
+
+class ByteBPE:
+    """Encoder and decoder for ranks in the tiktoken format; a token's id is its rank."""
+
+    def __init__(self, rank_file: bytes, pattern: str):
+        import regex
+
+        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
+        self.token = {i: t for t, i in self.rank.items()}
+        single = np.array([self.rank[bytes([i])] for i in range(256)], np.int64)
+        pairs = {}
+        for token, i in self.rank.items():
+            for cut in range(1, len(token)):
+                a, b = self.rank.get(token[:cut]), self.rank.get(token[cut:])
+                if a is not None and b is not None:
+                    pairs[a, b] = i
+        self.merger = Merger(single, single, pairs)
+        self.cache = WordCache(regex.compile(pattern).findall, self.encode_words)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """A word that is a token as a whole takes its id; the others are merged."""
+        raws = [w.encode() for w in words]
+        whole = list(map(self.rank.get, raws))
+        merged = iter(self.merger.merge([raw for raw, i in zip(raws, whole, strict=True) if i is None]))
+        return [next(merged) if i is None else i.to_bytes(4, "little") for i in whole]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -23,13 +23,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import Merger
 from .common import documents, written
-from .word_cache import WordCache
+from .word_cache import CACHED_WORDS, WordCache
 
-# Fixed values of the word-level vocabulary: its split pattern, with white space spelled out for the range below.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+"
-#: Texts with characters beyond this range go through the tokenizer as a whole.
-BEYOND = "[^\x00-ɏ]"
+#: What the fast path below knows of a tokenizer, its normaliser's steps and its split pattern.
+STEPS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts with characters beyond the Latin blocks go through the tokenizer as a whole, as do those with separators that
+#: only Python takes for white space. Within them NFC changes nothing, and no match of the pattern holds white space.
+BEYOND = "[^\x00-\x1b\x20-\u024f]"
+
+
+#: Between the ids of two parts: no id, and nothing that two ids side by side could hold, as ids are below 2**24.
+BETWEEN = b"\xff" * 4
 
 
 class WordTokenizer:
@@ -43,31 +50,57 @@ class WordTokenizer:
         self.whole = Tokenizer.from_str(file)
         self.whole.encode_special_tokens = True
         parts = json.loads(file)
-        steps = (parts["normalizer"] or {}).get("normalizers", [])
+        self.beyond = regex.compile(BEYOND).search
+        steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
         rule = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if parts["pre_tokenizer"] else ""
-        self.plain = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and rule == SPLIT.replace(r"\t-\r \x85\xa0", r"\s")
-        parts["normalizer"] = None
-        self.word = Tokenizer.from_str(json.dumps(parts))
-        self.word.encode_special_tokens = True
-        self.beyond = regex.compile(BEYOND)
-        self.find = regex.compile(SPLIT).findall
+        self.merger = self._merger(parts["model"]) if steps == STEPS and rule == SPLIT else None
+        self.find, self.known = regex.compile(SPLIT + "| ").findall, {" ": BETWEEN}
         self.cache = WordCache(self._split, self._encode)
 
+    @staticmethod
+    def _merger(model: dict) -> Merger | None:
+        """Merging in numpy, for a model whose ids follow the order of its merges."""
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        letters = byte_letters()
+        pairs, last = {}, -1
+        for merge in model["merges"]:
+            a, b = merge.split(" ") if isinstance(merge, str) else merge
+            made = vocab[a + b]
+            if made <= last:
+                return None
+            last = pairs[vocab[a], vocab[b]] = made
+        if not pairs or model["dropout"] or model["ignore_merges"] or model["byte_fallback"] or model["continuing_subword_prefix"]:
+            return None
+        return Merger(np.array([vocab[x] for x in letters], np.int64), np.array([vocab[x + suffix] for x in letters], np.int64), pairs)
+
     def _split(self, text: str) -> list[str]:
-        from unicodedata import normalize
-
-        if not self.plain or (not text.isascii() and self.beyond.search(text)):
-            return ["\0" + text]  # encoded whole; no word of the pattern starts so
-        return self.find(normalize("NFC", text).lower())
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        whole = [w[0] == "\0" and len(w) > 1 for w in words]
-        out = []
-        for k in range(0, len(words), 4096):
-            part, kinds = words[k : k + 4096], whole[k : k + 4096]
-            rest = iter(self.word.encode_batch([w for w, x in zip(part, kinds, strict=True) if not x], add_special_tokens=False))
-            out += [np.array((self.whole.encode(w[1:], add_special_tokens=False) if x else next(rest)).ids, "<u4").tobytes() for w, x in zip(part, kinds, strict=True)]
-        return out
+        if self.merger is None or self.beyond(text):
+            return [" " + text]  # encoded as a whole; no part of a split starts so
+        return text.lower().split()
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        whole = [x[0] == " " for x in parts]
+        plain = iter(self._plain([x for x, w in zip(parts, whole, strict=True) if not w] if any(whole) else parts))
+        if not any(whole):
+            return list(plain)
+        return [np.array(self.whole.encode(x[1:], add_special_tokens=False).ids, "<u4").tobytes() if w else next(plain) for x, w in zip(parts, whole, strict=True)]
+
+    def _plain(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without white space, all in one go with a separator between them."""
+        if not parts:
+            return []
+        words = self.find(" ".join(parts))
+        if len(self.known) > CACHED_WORDS:
+            self.known = {" ": BETWEEN}
+        if new := [w for w in set(words) if w not in self.known]:
+            self.known.update(zip(new, self.merger.merge([w.encode() for w in new]), strict=True))
+        return b"".join(map(self.known.__getitem__, words)).split(BETWEEN)
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    spare = iter(range(256, 512))
+    return [chr(i) if 33 <= i <= 126 or 161 <= i <= 172 or i >= 174 else chr(next(spare)) for i in range(256)]
 
 
 _BUILT: dict[str, WordTokenizer] = {}

@@ -33,10 +33,9 @@ class WordCache:
         new: set[str] = set()
         for words in chunk:
             new.update(words)
-        new.difference_update(self.known)
-        if new:
-            words = sorted(new)
-            self.known.update(zip(words, self.encode(words), strict=True))
-        get = self.known.__getitem__
+        known = self.known
+        if words := [w for w in new if w not in known]:
+            known.update(zip(words, self.encode(words), strict=True))
+        get = known.__getitem__
         for words in chunk:
             yield b"".join(map(get, words))
