@@ -11,7 +11,7 @@ The likeness of two versions is the share of digests that didn't differ, 1 - dif
 Defined results: a null text is empty and has no digests; two empty texts are alike (1); a paragraph that occurs again
 in a text counts once; rows that repeat an id follow each other by text; a null id comes after all others; with one
 document, it is its own next; an empty table gives an empty result; other columns are not read. Equal texts have equal
-fingerprints. Blocks that four sizes don't empty (digests that agree in 48 bits) are compared as sets.
+fingerprints. Blocks that four sizes don't empty (digests that agree in the 30 bits that deal them to cells) are compared as sets.
 """
 
 from __future__ import annotations
@@ -28,27 +28,34 @@ from .sharding import range_index, splitters
 CELLS, RETRIES = 8, (8, 32, 128, 1024)
 #: Digests in a block (expected), rounds of peeling, and characters in a piece of a line.
 BLOCK, ROUNDS, PIECE = 5, 12, 64
+#: Bits of a digest that check the others.
+CHECK = 24
 #: Bytes of text that follow each other in one window partition.
 STRETCH = 16 << 20
 
 
 def digests(text: str) -> str:
-    """SQL for the distinct digests of a text: 48 bits of hash and their 16-bit checksum."""
+    """SQL for the distinct digests of a text: 40 bits of hash and their 24-bit checksum."""
     pieces = f"regexp_extract_all({text}, '[^\\\\n]{{1,{PIECE}}}', 0)"
     return f"array_distinct(transform({pieces}, p -> {_checked('xxhash64(p)')}))"
 
 
 def _checked(h: str) -> str:
-    return f"(shiftleft(shiftright({h}, 16), 16) | (xxhash64(shiftright({h}, 16)) & 65535L))"
+    return f"(shiftleft(shiftright({h}, {CHECK}), {CHECK}) | (xxhash64(shiftright({h}, {CHECK})) & {(1 << CHECK) - 1}L))"
 
 
-def _pure(c: str) -> str:
-    return f"((abs({c}.n) = 1) AND (({c}.k & 65535L) = (xxhash64(shiftright({c}.k, 16)) & 65535L)))"
+def _pure(c: str, i: str, size: int) -> str:
+    """Whether a cell holds a single digest: its checksum fits and the digest belongs in this cell."""
+    return f"(abs({c}.n) = 1 AND ({c}.k & {(1 << CHECK) - 1}L) = (xxhash64(shiftright({c}.k, {CHECK})) & {(1 << CHECK) - 1}L) AND {_belongs(f'{c}.k', i, size)})"
+
+
+def _belongs(item: str, cell: str, size: int) -> str:
+    """Whether an item goes to a cell; each group of cells takes ten bits of its own."""
+    return f"pmod(shiftright({item}, {CHECK} + 10 * ({cell} div {size})), {size}L) = {cell} % {size}"
 
 
 def _hits(items: str, cell: str, size: int, var: str) -> str:
-    """Those of the items that go to a cell: group j takes bits from 16 * (j + 1) on."""
-    return f"filter({items}, {var} -> pmod(shiftright({var}, 16 * (1 + {cell} div {size})), {size}L) = {cell} % {size})"
+    return f"filter({items}, {var} -> {_belongs(var, cell, size)})"
 
 
 def _xor(items: str, var: str) -> str:
@@ -72,7 +79,7 @@ def peeled(cells: str, size: int) -> str:
     hit = lambda side: _hits(f"r.{side}", "i", size, "x")
     without = f"transform(array(named_struct('p', {hit('p')}, 'm', {hit('m')})), g -> named_struct('n', c.n - size(g.p) + size(g.m), 'k', c.k ^ {_xor('g.p', 'y')} ^ {_xor('g.m', 'z')}))[0]"
     taken = f"transform(array(named_struct('p', {signed(1)}, 'm', {signed(-1)})), r -> named_struct('cells', transform(s.cells, (c, i) -> {without}), 'differ', s.differ + size(r.p) + size(r.m)))[0]"
-    turn = f"transform(array(filter(s.cells, c -> {_pure('c')})), o -> if(size(o) = 0, s, {taken}))[0]"
+    turn = f"transform(array(filter(s.cells, (c, i) -> {_pure('c', 'i', size)})), o -> if(size(o) = 0, s, {taken}))[0]"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'differ', 0), (s, _i) -> if(forall(s.cells, c -> c.n = 0 AND c.k = 0L), s, {turn}))"
 
 
