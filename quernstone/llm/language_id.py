@@ -134,7 +134,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_column: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pred, score = [], []
-            for text in batch["_text"]:
+            for text in batch[source]:
                 v = bundler().bundle(text) if names else None
                 norm = 0.0 if v is None else float(np.sqrt(np.dot(v.astype(np.float64), v)))
                 if not norm:
@@ -143,11 +143,12 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_column: str = "
                 cosine = apart @ (v / norm).astype(np.float64)
                 best = int(cosine.argmax())
                 pred.append(names[best]), score.append(min(1.0, max(0.0, round((1 + float(cosine[best])) / 2, 9))))
-            yield batch.drop(columns="_text").assign(lang_pred=pred, score=score)
+            yield batch[kept].assign(lang_pred=pred, score=score)
 
     kept = [id_column, *carry]
+    source = text_column if text_column in kept else "_text"
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept)
-    return df.select(*kept, F.col(text_column).alias("_text")).mapInPandas(run, f"{kinds}lang_pred string, score double")
+    return df.select(*kept, *[F.col(text_column).alias("_text")] * (source == "_text")).mapInPandas(run, f"{kinds}lang_pred string, score double")
 
 
 def held_out(id_column: str = "doc_id") -> Column:
