@@ -20,3 +20,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "quern
         .config("spark.driver.memory", os.environ.get("QUERNSTONE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, paths) if p)
+    return spark
