@@ -6,8 +6,9 @@ within 16 bits. Registers of a union are the maxima of the registers, and two se
 close to their similarity. Bands of registers are bucketed; within a bucket, documents meet a few pivots instead of one
 another; a joint maximum-likelihood estimate from the registers sorts out pairs far below the threshold, and the rest
 are confirmed on their full sets. Links are closed to components between rounds, and a pair inside one component isn't
-compared any more. Rounds go on, with four times the pivots each time, until every bucket has met in full, so no bucket
-is capped.
+compared any more. Before each further round, documents go that cannot link to another component, as too few of their
+shingles occur there: with a similarity of t, a share t of a set is in the other. Rounds go on, with more pivots each
+time, until every bucket has met in full, so no bucket is capped.
 
 With 32 bands of 4 registers, a pair at the threshold of 0.75 shares no bucket with a chance of 5e-6.
 
@@ -144,6 +145,41 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return joined.mapInPandas(run, f"a {kind}, b {kind}")
 
 
+def _apart(rows: DataFrame, tag: str) -> DataFrame:
+    """Rows (key, id, c) of buckets that hold more than one component, with the bucket's size n."""
+    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    return written(rows.join(size.select("key", "n"), "key"), tag)
+
+
+def _open(rows: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int, tag: str) -> DataFrame:
+    """(id, share) of the documents in rows (id, c) that may still link to another component.
+
+    share is the part of their shingles that other components' documents hold; less than the threshold rules a link out.
+    A document that is ruled out holds nothing for others, so this is repeated while it rules out many.
+    """
+    kind = nodes.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingles(t, words) for t in batch["text"]]
+            sizes = [len(x) for x in found]
+            if sum(sizes):
+                yield pd.DataFrame({"s": np.concatenate(found).view(np.int64), "id": np.repeat(batch["id"].to_numpy(), sizes), "c": np.repeat(batch["c"].to_numpy(), sizes)})
+
+    docs = rows.select("id", "c").distinct()
+    held = written(texts.join(docs, "id").select("id", "c", "text").mapInPandas(run, f"s long, id {kind}, c {kind}"), f"held-{tag}")
+    for turn in range(6):
+        useful = held.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s")
+        share = held.join(useful, "s").groupBy("id").count().join(nodes.select("id", "n_shingles"), "id")
+        share = written(share.where(f"100 * count >= {percent} * n_shingles").select("id", F.expr("count / n_shingles").alias("share")), f"share-{tag}-{turn}")
+        before, after = docs.count(), share.count()
+        if after >= 0.9 * before or not after:
+            break
+        docs = share.select("id")
+        held = held.join(docs, "id", "left_semi")
+    return share
+
+
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id (least id of the component), kept, for every row."""
     every = written(sketches(df, id_column, text_column, words), "sketches")
@@ -156,9 +192,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     crowded = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     bucket = written(slots.join(crowded, "key"), "buckets")
 
-    # a repeated id has several sets; they are one node
-    same = member.where("id <> rep").selectExpr("rep AS a", "id AS b").where("false")
-    links, done, texts = same, same, None
+    texts = None
 
     def compare(pairs: DataFrame, tag: str) -> DataFrame:
         """Confirms pairs; texts are fetched once, for all documents that share a bucket."""
@@ -186,13 +220,18 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     active, turn = bucket.where("id <> hub").select("key", "id"), 0
     while True:
-        now = labelled(active, "id", "c")
-        apart = now.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "n")
-        now = written(now.join(apart, "key"), f"active-{turn}")
+        now = _apart(labelled(active, "id", "c"), f"active-{turn}")
+        if not now.head(1):
+            break
+        open_ = _open(now, texts, nodes, words, percent, str(turn))
+        now = _apart(now.drop("n").join(open_, "id"), f"open-{turn}")
         if not now.head(1):
             break
-        pivot = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("n")) < 4 ** (turn + 1)
-        left = now.where(pivot).selectExpr("key", "id AS p", "c AS cp")
+        if turn < 3:  # the one with most of its shingles elsewhere links to whatever can be linked
+            left = now.groupBy("key").agg(F.max(F.struct("share", "id", "c")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.c").alias("cp"))
+        else:
+            left = now.where(F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("n")) < 4 ** (turn - 2)).selectExpr("key", "id AS p", "c AS cp")
+        left = written(left, f"pivots-{turn}")
         met = left.join(now.select("key", "id", "c"), "key").where("cp <> c").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
         fresh = written(met.join(done, ["a", "b"], "left_anti"), f"met-{turn}")
         found = compare(fresh, f"turn-{turn}")
@@ -200,7 +239,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         if found.head(1):
             links = links.unionByName(found)
             reach = written(components(links), f"reach-{turn}")
-        active, turn = now.where(~pivot).select("key", "id"), turn + 1
+        active, turn = now.select("key", "id").join(left.selectExpr("key", "p AS id"), ["key", "id"], "left_anti"), turn + 1
 
     whole = member.join(reach.selectExpr("id AS rep", "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     whole = whole.groupBy("id").agg(F.min("component").alias("component_id"))
