@@ -23,7 +23,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "quern
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import the package from where the driver has it."""
+    """Lets Python workers on this machine import the package from where the driver has it.
+
+    Also switches off one optimisation of Spark 4.1: a union of two inputs dealt out by the same key counts as dealt out
+    by that key, but adaptive execution may coalesce the inputs' partitions differently, and an aggregate over the union
+    then gives a key twice.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
