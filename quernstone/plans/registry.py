@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "hybrid_search_benchmark"
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("quernstone.plans.retrieval",)
 
 
 def queries() -> dict:
