@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "hybrid_search_benchmark"
-MODULES: tuple[str, ...] = ("quernstone.plans.retrieval",)
+MODULES: tuple[str, ...] = tuple(f"quernstone.plans.{m}" for m in ("retrieval", "texts", "ingest", "evaluation", "answers"))
 
 
 def queries() -> dict:
