@@ -51,11 +51,12 @@ def _pure(c: str, i: str, size: int) -> str:
 
 def _belongs(item: str, cell: str, size: int) -> str:
     """Whether an item goes to a cell; each group of cells takes ten bits of its own."""
-    return f"pmod(shiftright({item}, {CHECK} + 10 * ({cell} div {size})), {size}L) = {cell} % {size}"
+    return f"(shiftright({item}, {CHECK} + 10 * ({cell} div {size})) & {size - 1}L) = {cell} % {size}"
 
 
-def _hits(items: str, cell: str, size: int, var: str) -> str:
-    return f"filter({items}, {var} -> {_belongs(var, cell, size)})"
+def _hits(items: str, group: int, place: str, size: int, var: str) -> str:
+    """The items that go to a place of a group of cells; the group is known here, so that little is left to do for each."""
+    return f"filter({items}, {var} -> (shiftright({var}, {CHECK + 10 * group}) & {size - 1}L) = {place})"
 
 
 def _xor(items: str, var: str) -> str:
@@ -63,10 +64,9 @@ def _xor(items: str, var: str) -> str:
 
 
 def sketch(items: str, size: int) -> str:
-    """SQL for the cells (n, k) of a set of digests."""
-    hits = _hits(items, "c", size, "x")
-    let = f"transform(array({hits}), h -> named_struct('n', size(h), 'k', {_xor('h', 'y')}))[0]"
-    return f"transform(sequence(0, {3 * size - 1}), c -> {let})"
+    """SQL for the cells (n, k) of a set of digests, one group after the other."""
+    let = lambda j: f"transform(array({_hits(items, j, 'c', size, 'x')}), h -> named_struct('n', size(h), 'k', {_xor('h', 'y')}))[0]"
+    return f"concat({', '.join(f'transform(sequence(0L, {size - 1}L), c -> {let(j)})' for j in range(3))})"
 
 
 def subtracted(a: str, b: str) -> str:
@@ -76,41 +76,52 @@ def subtracted(a: str, b: str) -> str:
 def peeled(cells: str, size: int) -> str:
     """SQL for (cells, differ): what peeling leaves, and how many digests it recovered."""
     signed = lambda sign: f"array_distinct(transform(filter(o, c -> c.n = {sign}), c -> c.k))"
-    hit = lambda side: _hits(f"r.{side}", "i", size, "x")
-    without = f"transform(array(named_struct('p', {hit('p')}, 'm', {hit('m')})), g -> named_struct('n', c.n - size(g.p) + size(g.m), 'k', c.k ^ {_xor('g.p', 'y')} ^ {_xor('g.m', 'z')}))[0]"
-    taken = f"transform(array(named_struct('p', {signed(1)}, 'm', {signed(-1)})), r -> named_struct('cells', transform(s.cells, (c, i) -> {without}), 'differ', s.differ + size(r.p) + size(r.m)))[0]"
-    turn = f"transform(array(filter(s.cells, (c, i) -> {_pure('c', 'i', size)})), o -> if(size(o) = 0, s, {taken}))[0]"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'differ', 0), (s, _i) -> if(forall(s.cells, c -> c.n = 0 AND c.k = 0L), s, {turn}))"
+    hit = lambda side, j: _hits(f"r.{side}", j, "i", size, "x")
+    less = lambda j: f"transform(array(named_struct('p', {hit('p', j)}, 'm', {hit('m', j)})), g -> named_struct('n', c.n - size(g.p) + size(g.m), 'k', c.k ^ {_xor('g.p', 'y')} ^ {_xor('g.m', 'z')}))[0]"
+    groups = ", ".join(f"transform(slice(s.cells, {1 + j * size}, {size}), (c, i) -> {less(j)})" for j in range(3))
+    taken = f"transform(array(named_struct('p', {signed(1)}, 'm', {signed(-1)})), r -> named_struct('cells', concat({groups}), 'differ', s.differ + size(r.p) + size(r.m), 'live', true))[0]"
+    turn = f"transform(array(filter(s.cells, (c, i) -> {_pure('c', 'i', size)})), o -> if(size(o) = 0, named_struct('cells', s.cells, 'differ', s.differ, 'live', false), {taken}))[0]"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'differ', 0, 'live', true), (s, _i) -> if(s.live, {turn}, s))"
 
 
 EMPTY = "forall({}.cells, c -> c.n = 0 AND c.k = 0L)"
 
 
-def blocks(pair: int, a: str, b: str) -> str:
-    """SQL for the two sets dealt to blocks (w, a, b) by a hash of the digest, in two steps so that it stays cheap."""
-    side = f"cast(ceil(sqrt(greatest(1, size({a}), size({b})) / {BLOCK})) AS int)"
+def blocks(sets: list[str]) -> str:
+    """SQL for the sets dealt to blocks (x0, x1, ...) by a hash of the digest, in two steps so that it stays cheap."""
+    side = f"cast(ceil(sqrt(greatest(1, {', '.join(f'size({x})' for x in sets)}) / {BLOCK})) AS int)"
     part = lambda of, n, v: f"filter({of}, x -> pmod(xxhash64(x, {n}), d) = {v})"
-    rows = f"transform(sequence(0, d - 1), g -> named_struct('a', {part(a, 1, 'g')}, 'b', {part(b, 1, 'g')}))"
-    return f"transform(array({side}), d -> flatten(transform({rows}, t -> transform(sequence(0, d - 1), g -> named_struct('w', {pair}, 'a', {part('t.a', 2, 'g')}, 'b', {part('t.b', 2, 'g')})))))[0]"
+    made = lambda of, n, v: "named_struct(" + ", ".join(f"'x{i}', {part(x, n, v)}" for i, x in enumerate(of)) + ")"
+    rows = f"transform(sequence(0, d - 1), g -> {made(sets, 1, 'g')})"
+    inner = made([f"t.x{i}" for i in range(len(sets))], 2, "g")
+    return f"transform(array({side}), d -> flatten(transform({rows}, t -> transform(sequence(0, d - 1), g -> {inner}))))[0]"
 
 
-def with_differing(df: DataFrame, pairs: list[tuple[str, str, str, str, str]]) -> DataFrame:
-    """Adds for each (name, set, set, cells, cells) the number of digests in one of the two sets only.
+def with_differing(df: DataFrame, own: str, own_cells: str, others: list[tuple[str, str, str]]) -> DataFrame:
+    """Adds for each other (name, set, cells) the number of digests in one of the two sets only.
 
-    First the fingerprints themselves are peeled; what they don't recover is retried block by block.
+    First the fingerprints themselves are peeled; what they don't recover is retried block by block, with all sets dealt
+    to the same blocks, and blocks that fail are retried larger.
     """
-    df = df.select("*", *[F.expr(peeled(subtracted(x, y), CELLS)).alias(f"_p{w}") for w, (_, _, _, x, y) in enumerate(pairs)])
-    open_ = [f"if({EMPTY.format(f'_p{w}')}, filter({blocks(w, a, b)}, x -> false), {blocks(w, a, b)})" for w, (_, a, b, _, _) in enumerate(pairs)]
-    known = [f"if({EMPTY.format(f'_p{w}')}, _p{w}.differ, 0)" for w in range(len(pairs))]
-    df = df.select("*", F.expr(f"concat({', '.join(open_)})").alias("_b0"), *[F.expr(k).alias(f"_n0_{w}") for w, k in enumerate(known)])
-    for k, size in enumerate(RETRIES):
+    df = df.select("*", *[F.expr(peeled(subtracted(own_cells, x), CELLS)).alias(f"_p{w}") for w, (_, _, x) in enumerate(others)])
+    solved = [EMPTY.format(f"_p{w}") for w in range(len(others))]
+    dealt = blocks([own, *[x for _, x, _ in others]])
+    df = df.select("*", F.expr(f"if({' AND '.join(solved)}, filter({dealt}, x -> false), {dealt})").alias("_b"))
+    size = RETRIES[0]
+    peels = ", ".join(f"'s{w}', {peeled(subtracted('z', sketch(f'e.x{w + 1}', size)), size)}" for w in range(len(others)))
+    df = df.select("*", F.expr(f"transform(_b, e -> transform(array({sketch('e.x0', size)}), z -> named_struct('e', e, {peels}))[0])").alias("_r0"))
+    done = lambda w: EMPTY.format(f"r.s{w}")
+    left = ", ".join(f"if({solved[w]}, array(), transform(filter(_r0, r -> NOT {done(w)}), r -> named_struct('w', {w}, 'a', r.e.x0, 'b', r.e.x{w + 1})))" for w in range(len(others)))
+    count = [f"if({solved[w]}, _p{w}.differ, aggregate(filter(_r0, r -> {done(w)}), 0, (q, r) -> q + r.s{w}.differ))" for w in range(len(others))]
+    df = df.select("*", F.expr(f"concat({left})").alias("_b1"), *[F.expr(x).alias(f"_n1_{w}") for w, x in enumerate(count)])
+    for k, size in enumerate(RETRIES[1:], 1):
         state = peeled(subtracted(sketch("e.a", size), sketch("e.b", size)), size)
         df = df.select("*", F.expr(f"transform(_b{k}, e -> named_struct('e', e, 's', {state}))").alias(f"_r{k}"))
-        found = [F.expr(f"_n{k}_{w} + aggregate(filter(_r{k}, r -> r.e.w = {w} AND {EMPTY.format('r.s')}), 0, (q, r) -> q + r.s.differ)").alias(f"_n{k + 1}_{w}") for w in range(len(pairs))]
+        found = [F.expr(f"_n{k}_{w} + aggregate(filter(_r{k}, r -> r.e.w = {w} AND {EMPTY.format('r.s')}), 0, (q, r) -> q + r.s.differ)").alias(f"_n{k + 1}_{w}") for w in range(len(others))]
         df = df.select("*", F.expr(f"transform(filter(_r{k}, r -> NOT {EMPTY.format('r.s')}), r -> r.e)").alias(f"_b{k + 1}"), *found)
     k = len(RETRIES)
     rest = lambda w: f"aggregate(filter(_b{k}, e -> e.w = {w}), 0, (q, e) -> q + size(array_except(e.a, e.b)) + size(array_except(e.b, e.a)))"
-    return df.select("*", *[F.expr(f"_n{k}_{w} + {rest(w)}").alias(name) for w, (name, *_) in enumerate(pairs)])
+    return df.select("*", *[F.expr(f"_n{k}_{w} + {rest(w)}").alias(name) for w, (name, _, _) in enumerate(others)])
 
 
 def likeness(a: str, b: str, differ: str) -> str:
@@ -159,7 +170,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
         *[F.expr(digests(c)).alias(a) for c, a in (("text", "d1"), ("edited", "d2"), ("next", "d3"))],
     )
     cells = items.select("*", *[F.expr(sketch(f"d{i}", CELLS)).alias(f"s{i}") for i in (1, 2, 3)])
-    found = with_differing(cells, [("differ_edited", "d1", "d2", "s1", "s2"), ("differ_next", "d1", "d3", "s1", "s3")])
+    found = with_differing(cells, "d1", "s1", [("differ_edited", "d2", "s2"), ("differ_next", "d3", "s3")])
     return found.select(
         "doc_id",
         "n_chars",
