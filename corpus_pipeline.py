@@ -25,9 +25,9 @@ def _with_text(docs: DataFrame, new: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no text, or no letter in it)."""
     prototypes = language_id.learn(docs, "lang", "doc_id", "text")
-    known = language_id.predict(docs, prototypes, carry=tuple(c for c in docs.columns if c != "doc_id"))
+    known = language_id.predict(docs, prototypes, carry=tuple(c for c in docs.columns if c != "doc_id"), names_out=("_lang_pred", "_lang_score"))
     # where nothing could be learned, only texts without letters are turned down
-    keep = F.col("lang_pred") != language_id.UNKNOWN if prototypes else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    keep = F.col("_lang_pred") != language_id.UNKNOWN if prototypes else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return known.where(keep).select(docs.columns)
 
 

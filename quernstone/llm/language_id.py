@@ -39,23 +39,23 @@ def letter_classes() -> np.ndarray:
     codes = np.arange(0x110000, dtype=np.int64)
     letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     spread = DIRECT + ((codes * 2654435761) >> 7) % (LETTERS - DIRECT)
-    return np.where(letter, np.where(codes < DIRECT, codes, spread), 0).astype(np.int64)
+    return np.where(letter, np.where(codes < DIRECT, codes, spread), 0).astype(np.int16)
 
 
 @cache
 def letter_vector(letter: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([SEED, letter])).choice(np.array([-1, 1], np.float32), DIMENSIONS)
+    return np.random.Generator(np.random.PCG64([SEED, letter])).choice(np.array([-1, 1], np.int8), DIMENSIONS)
 
 
 class Bundler:
     """Vectors of documents. Trigram vectors are remembered up to a bound."""
 
     def __init__(self):
-        self.keys, self.rows = np.empty(0, np.int64), np.empty((0, DIMENSIONS), np.float32)
+        self.keys, self.rows = np.empty(0, np.int64), np.empty((0, DIMENSIONS), np.int8)
 
     def _bound(self, keys: np.ndarray) -> np.ndarray:
         """Vectors of the trigrams, the first letter permuted twice, the second once."""
-        rows = np.empty((len(keys), DIMENSIONS), np.float32)
+        rows = np.empty((len(keys), DIMENSIONS), np.int8)
         for i, key in enumerate(keys.tolist()):
             rows[i] = np.roll(letter_vector(key >> 24), 2) * np.roll(letter_vector(key >> 12 & 4095), 1) * letter_vector(key & 4095)
         return rows
@@ -84,7 +84,7 @@ class Bundler:
         edge = edge[np.concatenate([[True], (edge[1:] != 0) | (edge[:-1] != 0)])]
         keys, counts = np.unique((edge[:-2] << 24) | (edge[1:-1] << 12) | edge[2:], return_counts=True)
         if len(keys) <= TRIGRAMS:
-            return counts.astype(np.float32) @ self._vectors(keys)
+            return counts.astype(np.float32) @ self._vectors(keys).astype(np.float32)
         return sum(counts[k : k + TRIGRAMS].astype(np.float64) @ self._bound(keys[k : k + TRIGRAMS]) for k in range(0, len(keys), TRIGRAMS))
 
 
@@ -124,7 +124,7 @@ def learn(df: DataFrame, language: str, id_column: str, text_column: str, learn_
     return {k: found[k] / np.linalg.norm(found[k]) for k in sorted(found) if np.any(found[k])}
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), names_out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """id and carried columns with lang_pred and score (the cosine, mapped to 0 to 1). Only the text decides."""
     names = list(prototypes)
     raw = np.array([prototypes[k] for k in names]).reshape(len(names), DIMENSIONS)
@@ -143,12 +143,12 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_column: str = "
                 cosine = apart @ (v / norm).astype(np.float64)
                 best = int(cosine.argmax())
                 pred.append(names[best]), score.append(min(1.0, max(0.0, round((1 + float(cosine[best])) / 2, 9))))
-            yield batch[kept].assign(lang_pred=pred, score=score)
+            yield batch[kept].assign(**dict(zip(names_out, (pred, score), strict=True)))
 
     kept = [id_column, *carry]
     source = text_column if text_column in kept else "_text"
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept)
-    return df.select(*kept, *[F.col(text_column).alias("_text")] * (source == "_text")).mapInPandas(run, f"{kinds}lang_pred string, score double")
+    return df.select(*kept, *[F.col(text_column).alias("_text")] * (source == "_text")).mapInPandas(run, f"{kinds}`{names_out[0]}` string, `{names_out[1]}` double")
 
 
 def held_out(id_column: str = "doc_id") -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 #: Characters of text encoded at a time, and words remembered by a worker.
 CHUNK_CHARS = 1 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 
 class WordCache:
