@@ -151,13 +151,15 @@ def _apart(rows: DataFrame, tag: str) -> DataFrame:
     return written(rows.join(size.select("key", "n"), "key"), tag)
 
 
-def _open(rows: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int, tag: str) -> DataFrame:
-    """(id, share) of the documents in rows (id, c) that may still link to another component.
+def _open(rows: DataFrame, texts: DataFrame, words: int, percent: int, tag: str) -> DataFrame:
+    """(id, useful) of the documents in rows (key, id, size, c) that may still link to another component.
 
-    share is the part of their shingles that other components' documents hold; less than the threshold rules a link out.
-    A document that is ruled out holds nothing for others, so this is repeated while it rules out many.
+    useful counts the shingles that other components' documents hold. A similarity of t needs t / (1 + t) of both sets'
+    sizes in common, and the other set is no smaller than the least in the document's buckets, nor than t of its own; fewer
+    useful shingles than that rule a link out. A document that is ruled out holds nothing for others, so this is repeated
+    while it rules out many.
     """
-    kind = nodes.schema["id"].dataType.simpleString()
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,18 +168,21 @@ def _open(rows: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, perce
             if sum(sizes):
                 yield pd.DataFrame({"s": np.concatenate(found).view(np.int64), "id": np.repeat(batch["id"].to_numpy(), sizes), "c": np.repeat(batch["c"].to_numpy(), sizes)})
 
-    docs = rows.select("id", "c").distinct()
-    held = written(texts.join(docs, "id").select("id", "c", "text").mapInPandas(run, f"s long, id {kind}, c {kind}"), f"held-{tag}")
-    for turn in range(6):
+    least = rows.groupBy("key").agg(F.min("size").alias("least"))
+    docs = rows.join(least, "key").groupBy("id").agg(F.first("c").alias("c"), F.first("size").alias("size"), F.min("least").alias("least"))
+    docs = written(docs.withColumn("need", F.expr(f"{percent} * (size + greatest(least, size * {percent} / 100)) / {100 + percent}")), f"docs-{tag}")
+    held = written(texts.join(docs.select("id", "c"), "id").select("id", "c", "text").mapInPandas(run, f"s long, id {kind}, c {kind}"), f"held-{tag}")
+    left = docs
+    for turn in range(8):
         useful = held.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s")
-        share = held.join(useful, "s").groupBy("id").count().join(nodes.select("id", "n_shingles"), "id")
-        share = written(share.where(f"100 * count >= {percent} * n_shingles").select("id", F.expr("count / n_shingles").alias("share")), f"share-{tag}-{turn}")
-        before, after = docs.count(), share.count()
-        if after >= 0.9 * before or not after:
+        count = held.join(useful, "s").groupBy("id").agg(F.count("*").alias("useful"))
+        open_ = written(docs.join(count, "id").where("useful >= need - 1e-6").select("id", "useful"), f"open-{tag}-{turn}")
+        before, after = left.count(), open_.count()
+        if after >= 0.95 * before or not after:
             break
-        docs = share.select("id")
-        held = held.join(docs, "id", "left_semi")
-    return share
+        left = open_
+        held = held.join(left.select("id"), "id", "left_semi")
+    return open_
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -186,9 +191,10 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     held = every.where("id IS NOT NULL AND digest IS NOT NULL")
     first = held.groupBy("digest").agg(F.min("id").alias("rep"))
     member = written(held.select("id", "digest").distinct().join(first, "digest").select("id", "rep"), "members")
-    nodes = written(held.join(member.where("id = rep").select("id").distinct(), "id").select("id", "n_shingles", "sketch").dropDuplicates(["id"]), "nodes")
     band = F.expr(f"transform(sequence(0, {REGISTERS // BAND - 1}), i -> xxhash64(i, substring(sketch, i * {2 * BAND} + 1, {2 * BAND})))")
-    slots = nodes.select("id", F.explode(band).alias("key"))
+    own = held.join(member.where("id = rep").select("id").distinct(), "id").dropDuplicates(["id"])
+    nodes = written(own.select("id", "n_shingles", "sketch", band.alias("keys")), "nodes")
+    slots = nodes.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
     crowded = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     bucket = written(slots.join(crowded, "key"), "buckets")
 
@@ -218,28 +224,32 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     reach = written(components(links), "reach-stars")
     done = stars
 
-    active, turn = bucket.where("id <> hub").select("key", "id"), 0
+    active, turn = bucket.where("id <> hub").select("key", "id", "size"), 0
     while True:
         now = _apart(labelled(active, "id", "c"), f"active-{turn}")
         if not now.head(1):
             break
-        open_ = _open(now, texts, nodes, words, percent, str(turn))
+        open_ = _open(now, texts, words, percent, str(turn)).join(nodes.select("id", "keys"), "id")
         now = _apart(now.drop("n").join(open_, "id"), f"open-{turn}")
         if not now.head(1):
             break
-        if turn < 3:  # the one with most of its shingles elsewhere links to whatever can be linked
-            left = now.groupBy("key").agg(F.max(F.struct("share", "id", "c")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.c").alias("cp"))
+        if turn == 0:  # the one with most of its shingles elsewhere links to whatever can be linked
+            share = F.struct((F.col("useful") / F.col("size")).alias("share"), "id", "c", "size", "useful", "keys")
+            left = now.groupBy("key").agg(F.max(share).alias("x")).select("key", "x.*")
         else:
-            left = now.where(F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("n")) < 4 ** (turn - 2)).selectExpr("key", "id AS p", "c AS cp")
-        left = written(left, f"pivots-{turn}")
-        met = left.join(now.select("key", "id", "c"), "key").where("cp <> c").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+            left = now.where(F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("n")) < 16**turn)
+        left = written(left.selectExpr("key", "id AS p", "c AS cp", "size AS zp", "useful AS up", "keys AS kp"), f"pivots-{turn}")
+        # a pair meets in the first of the buckets it shares, once
+        once = "" if turn == 0 else "AND (p < id OR pmod(xxhash64(id, key, {t}), n) >= {m}) ".format(t=turn, m=16**turn)
+        enough = F.expr(f"cp <> c {once}AND {100 + percent} * least(useful, up) >= {percent} * (size + zp) AND get(array_intersect(kp, keys), 0) = key")
+        met = left.join(now.select("key", "id", "c", "n", "size", "useful", "keys"), "key").where(enough).select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
         fresh = written(met.join(done, ["a", "b"], "left_anti"), f"met-{turn}")
         found = compare(fresh, f"turn-{turn}")
         done = done.unionByName(fresh)
         if found.head(1):
             links = links.unionByName(found)
             reach = written(components(links), f"reach-{turn}")
-        active, turn = now.select("key", "id").join(left.selectExpr("key", "p AS id"), ["key", "id"], "left_anti"), turn + 1
+        active, turn = now.select("key", "id", "size").join(left.selectExpr("key", "p AS id"), ["key", "id"], "left_anti"), turn + 1
 
     whole = member.join(reach.selectExpr("id AS rep", "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     whole = whole.groupBy("id").agg(F.min("component").alias("component_id"))
