@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.sources import generations, ledger
 
@@ -41,7 +42,7 @@ def test_generations_swap_upsert_and_delete(spark, tmp_path):
     table.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"))
     assert sorted(map(tuple, table.current().collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert sorted(map(tuple, old.collect())) == [(1, "a"), (2, "b")]
-    table.delete(table.current()["id"] == 1)
+    table.delete(F.col("id") == 1)
     assert sorted(r.id for r in table.current().collect()) == [2, 3]
 
 
