@@ -63,9 +63,13 @@ def _xor(items: str, var: str) -> str:
     return f"aggregate({items}, 0L, (q{var}, {var}) -> q{var} ^ {var})"
 
 
+NOTHING = "named_struct('n', 0, 'k', 0L)"
+
+
 def sketch(items: str, size: int) -> str:
     """SQL for the cells (n, k) of a set of digests, one group after the other."""
-    let = lambda j: f"transform(array({_hits(items, j, 'c', size, 'x')}), h -> named_struct('n', size(h), 'k', {_xor('h', 'y')}))[0]"
+    # most cells of a block stay empty; they share one constant
+    let = lambda j: f"transform(array({_hits(items, j, 'c', size, 'x')}), h -> if(size(h) = 0, {NOTHING}, named_struct('n', size(h), 'k', {_xor('h', 'y')})))[0]"
     return f"concat({', '.join(f'transform(sequence(0L, {size - 1}L), c -> {let(j)})' for j in range(3))})"
 
 
@@ -75,11 +79,11 @@ def subtracted(a: str, b: str) -> str:
 
 def peeled(cells: str, size: int) -> str:
     """SQL for (cells, differ): what peeling leaves, and how many digests it recovered."""
-    signed = lambda sign: f"array_distinct(transform(filter(o, c -> c.n = {sign}), c -> c.k))"
-    hit = lambda side, j: _hits(f"r.{side}", j, "i", size, "x")
-    less = lambda j: f"transform(array(named_struct('p', {hit('p', j)}, 'm', {hit('m', j)})), g -> named_struct('n', c.n - size(g.p) + size(g.m), 'k', c.k ^ {_xor('g.p', 'y')} ^ {_xor('g.m', 'z')}))[0]"
+    hit = lambda j: f"filter(r, x -> (shiftright(x.k, {CHECK + 10 * j}) & {size - 1}L) = i)"
+    changed = "named_struct('n', c.n - aggregate(g, 0, (q, x) -> q + x.n), 'k', c.k ^ aggregate(g, 0L, (q, x) -> q ^ x.k))"
+    less = lambda j: f"transform(array({hit(j)}), g -> if(size(g) = 0, c, {changed}))[0]"
     groups = ", ".join(f"transform(slice(s.cells, {1 + j * size}, {size}), (c, i) -> {less(j)})" for j in range(3))
-    taken = f"transform(array(named_struct('p', {signed(1)}, 'm', {signed(-1)})), r -> named_struct('cells', concat({groups}), 'differ', s.differ + size(r.p) + size(r.m), 'live', true))[0]"
+    taken = f"transform(array(array_distinct(o)), r -> named_struct('cells', concat({groups}), 'differ', s.differ + size(r), 'live', true))[0]"
     turn = f"transform(array(filter(s.cells, (c, i) -> {_pure('c', 'i', size)})), o -> if(size(o) = 0, named_struct('cells', s.cells, 'differ', s.differ, 'live', false), {taken}))[0]"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'differ', 0, 'live', true), (s, _i) -> if(s.live, {turn}, s))"
 
