@@ -103,24 +103,9 @@ def sketches(df: DataFrame, id_column: str, text_column: str, words: int) -> Dat
     return df.selectExpr(f"`{id_column}` AS id", f"`{text_column}` AS text").mapInPandas(run, f"id {kind}, n_shingles long, digest binary, sketch binary")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes allow a link and whose registers don't speak against it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-                yield batch.loc[estimate(a, b, batch["na"].to_numpy(float), batch["nb"].to_numpy(float)) >= LEAST_ESTIMATE, ["a", "b"]]
-
-    one = nodes.selectExpr("id AS a", "n_shingles AS na", "sketch AS sa")
-    two = nodes.selectExpr("id AS b", "n_shingles AS nb", "sketch AS sb")
-    sized = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    kind = nodes.schema["id"].dataType.simpleString()
-    return sized.mapInPandas(run, f"a {kind}, b {kind}")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs whose full sets reach the threshold."""
+def _confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that reach the threshold: their sizes must allow it, their registers not speak against
+    it, and their full sets show it. held has id, n, sketch and text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recent: dict = {}
@@ -133,16 +118,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
             return recent[i]
 
         for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
+            batch = batch[estimate(x, y, batch["na"].to_numpy(float), batch["nb"].to_numpy(float)) >= LEAST_ESTIMATE]
             good = []
             for i, j, x, y in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True):
                 s, t = of(i, x), of(j, y)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 good.append(100 * both >= percent * (len(s) + len(t) - both) > 0)
-            yield batch.loc[good, ["a", "b"]]
+            yield batch.loc[np.array(good, bool), ["a", "b"]]
 
     kind = pairs.schema["a"].dataType.simpleString()
-    joined = pairs.join(texts.selectExpr("id AS a", "text AS ta"), "a").join(texts.selectExpr("id AS b", "text AS tb"), "b")
-    return joined.mapInPandas(run, f"a {kind}, b {kind}")
+    one = held.selectExpr("id AS a", "n AS na", "sketch AS sa", "text AS ta")
+    two = held.selectExpr("id AS b", "n AS nb", "sketch AS sb", "text AS tb")
+    sized = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return sized.mapInPandas(run, f"a {kind}, b {kind}")
 
 
 def _apart(rows: DataFrame, tag: str) -> DataFrame:
@@ -205,9 +196,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         nonlocal texts
         if texts is None:
             need = bucket.select("id").distinct()
-            texts = written(df.selectExpr(f"`{id_column}` AS id", f"`{text_column}` AS text").join(need, "id").dropDuplicates(["id"]), "texts")
-        likely = written(_likely(pairs, nodes, percent), f"likely-{tag}")
-        return written(_confirmed(likely, texts, words, percent), f"links-{tag}")
+            found = df.selectExpr(f"`{id_column}` AS id", f"`{text_column}` AS text").join(need, "id").dropDuplicates(["id"])
+            texts = written(found.join(nodes.selectExpr("id", "n_shingles AS n", "sketch"), "id"), "texts")
+        return written(_confirmed(pairs, texts, words, percent), f"links-{tag}")
 
     stars = written(bucket.where("id <> hub").selectExpr("hub AS a", "id AS b").distinct(), "stars")
     # first each document with the least of its hubs, then with those that are still in other components

@@ -262,8 +262,8 @@ def test_components(spark):
     from quernstone.llm.components import components
 
     links = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(6, 40)] + [(300, 200), (200, 300), (7, 7)]
-    found = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == {**{k: 100 for k in range(100, 161)}, **{k: 5 for k in range(5, 40)}, 200: 200, 300: 200}
+    found, again = ({r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long"), small).collect()} for small in (0, 1000))
+    assert found == again == {**{k: 100 for k in range(100, 161)}, **{k: 5 for k in range(5, 40)}, 200: 200, 300: 200}
 
 
 def test_sharding(spark, folders, rows):
