@@ -24,14 +24,16 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank:
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1 + first)
 
 
-def dense_top(queries: DataFrame, query_key: str, corpus: DataFrame, key: str, vector: str, k: int, same: str | None = None) -> DataFrame:
+def dense_top(queries: DataFrame, query_key: str, corpus: DataFrame, key: str, vector: str, k: int, same: str | None = None, reach: tuple[str, str] | None = None) -> DataFrame:
     """(query, key, score, rank): exact cosine top-k.
 
     Query vectors are broadcast in blocks of bounded size and multiplied with batches of the corpus; each batch keeps
     its own top-k, so k rows a query and batch are dealt out instead of all pairs. With `same`, only corpus rows that
-    share the query's value of that column are ranked (the filter comes before the cut).
+    share the query's value of that column are ranked (the filter comes before the cut). With `reach`, the search is
+    approximate: only corpus rows with one of their buckets (second column) among those that the query probes (first
+    column) are ranked.
     """
-    columns = [query_key, vector, *([same] if same else [])]
+    columns = [query_key, vector, *([same] if same else []), *([reach[0]] if reach else [])]
     ids = [r[0] for r in queries.select(query_key).sort(query_key).collect()]
     kinds = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, `{key}` {corpus.schema[key].dataType.simpleString()}, score double"
     parts = []
@@ -41,10 +43,13 @@ def dense_top(queries: DataFrame, query_key: str, corpus: DataFrame, key: str, v
         matrix = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12) if len(rows) else 1
         names, groups = np.array([r[0] for r in rows]), np.array([r[2] for r in rows]) if same else None
-        held = corpus.sparkSession.sparkContext.broadcast((matrix, names, groups))
+        probed = np.zeros((len(rows), 1 + max((b for r in rows for b in r[-1]), default=0)), bool) if reach else None
+        for i, r in enumerate(rows if reach else []):
+            probed[i, r[-1]] = True
+        held = corpus.sparkSession.sparkContext.broadcast((matrix, names, groups, probed))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            matrix, names, groups = held.value
+            matrix, names, groups, probed = held.value
             for batch in batches:
                 if not len(batch) or not len(names):
                     continue
@@ -53,13 +58,19 @@ def dense_top(queries: DataFrame, query_key: str, corpus: DataFrame, key: str, v
                 score = np.round(matrix @ v.T, 6) + 0.0
                 if same:
                     score[groups[:, None] != batch[same].to_numpy()[None, :]] = -np.inf
+                if reach:
+                    buckets = np.array(batch[reach[1]].tolist())
+                    met = np.zeros(score.shape, bool)
+                    for b in buckets.T:  # a bucket that no query probes may lie past the last probed one
+                        met |= probed[:, np.minimum(b, probed.shape[1] - 1)] & (b < probed.shape[1])
+                    score[~met] = -np.inf
                 own = batch[key].to_numpy()
                 order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
                 best = np.take_along_axis(score, order, 1)
                 out = pd.DataFrame({query_key: np.repeat(names, order.shape[1]), key: own[order].ravel(), "score": best.ravel()})
                 yield out[np.isfinite(out["score"])]
 
-        parts.append(corpus.select(key, vector, *([same] if same else [])).mapInPandas(run, kinds))
+        parts.append(corpus.select(key, vector, *([same] if same else []), *([reach[1]] if reach else [])).mapInPandas(run, kinds))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

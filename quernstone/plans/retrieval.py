@@ -10,6 +10,8 @@ from ..operators import index, ranking, scoring
 from ..sources.tables import table
 
 LIMIT, FUSED, DEPTH = 8, 24, ranking.PREFETCH
+#: Buckets looked in per band of the approximate index, of 16: at 5, recall at 10 is over 0.9 (README).
+PROBES = 5
 BOOSTS = {"syntax": 3.0, "table": 2.0, "message": 1.5, "narrative": 1.0}
 
 
@@ -170,14 +172,17 @@ def dense_topk_filtered(spark, d):
 
 
 def ann_overlap_at_k(spark, d):
-    """Overlap at 10 of hyperplane buckets (the nearest in four bands of four signs) with the exact ranking."""
+    """Overlap at 10 of hyperplane buckets (four bands of four signs, the PROBES nearest of each) with the exact ranking."""
     e = table(spark, d, "embeddings")
-    sign = lambda band, i: f"if(aggregate(transform(embedding, (x, j) -> x * if(pmod(xxhash64(j, {band}, {i}), 2L) = 0, 1, -1)), 0D, (a, x) -> a + x) >= 0, {1 << i}, 0)"
-    key = F.array(*[F.expr(" + ".join(sign(b, i) for i in range(4)) + f" + {16 * b}") for b in range(4)])
-    keyed = e.select("vec_id", "embedding", F.explode(key).alias("key"))
-    pairs = keyed.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "key").join(keyed, "key").dropDuplicates(["query_id", "vec_id"])
-    score = F.round(F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x), 6)
-    near = ranking.top(pairs.select("query_id", "vec_id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("vec_id")], 10)
+    margin = lambda band, i: f"aggregate(transform(embedding, (x, j) -> x * if(pmod(xxhash64(j, {band}, {i}), 2L) = 0, 1, -1)), 0D, (a, x) -> a + x)"
+    keyed = e.select("vec_id", "embedding", F.expr(f"array({', '.join(f'array({", ".join(margin(b, i) for i in range(4))})' for b in range(4))})").alias("margins"))
+    bits = "aggregate(transform(m, (x, i) -> if(x >= 0, shiftleft(1, i), 0)), 0, (a, x) -> a + x)"
+    keyed = keyed.withColumn("buckets", F.expr(f"transform(margins, (m, b) -> {bits} + 16 * b)"))
+    # the bucket whose signs differ in f is as far away as the margins of those signs
+    far = "aggregate(transform(m, (x, i) -> if((shiftright(f, i) & 1) = 1, abs(x), 0D)), 0D, (a, x) -> a + x)"
+    nearest = f"transform(slice(array_sort(transform(sequence(0, 15), f -> struct({far} AS far, f AS f))), 1, {PROBES}), s -> (buckets[b] ^ s.f))"
+    keyed = keyed.withColumn("probes", F.expr(f"flatten(transform(margins, (m, b) -> {nearest}))"))
+    near = ranking.dense_top(keyed.withColumnRenamed("vec_id", "query_id"), "query_id", keyed, "vec_id", "embedding", 10, reach=("probes", "buckets"))
     exact = dense_topk_cosine(spark, d)
     return exact.join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.sum(F.coalesce("hit", F.lit(0))) / 10, 6).alias("overlap"))
 
