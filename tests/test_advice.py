@@ -33,3 +33,32 @@ def test_st09_recall_of_the_approximate_index(spark):
         probes = [buckets[i, b] ^ np.argsort(flips @ np.abs(margins[i, b]), kind="stable")[: retrieval.PROBES] for b in range(4)]
         hits = sum(any(buckets[j, b] in probes[b] for b in range(4)) for j in near)
         assert found[e[i].vec_id] == pytest.approx(hits / 10)
+
+
+def distance(a: str, b: str) -> int:
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1]
+
+
+def bucket(rate: float) -> str:
+    return "0" if rate == 0 else next((f"<{b}" for b in (0.05, 0.2, 0.5) if rate < b), ">=0.5")
+
+
+def test_fn65_tells_all_characters_apart(spark, tmp_path):
+    """Accented, non-Latin and supplementary characters, and the first turns of the given table."""
+    texts = ["été", "âtâ", "日本語", "日本誤", "a😀b", "a😁b", "naïve", "naive", "", "ключ", "ключи\n", "ключи?"]
+    got = {r.turn: (r.cer, r.bucket) for r in rows(spark, tmp_path, "fn65_edit_distance_cer", conversations=([(1, i, "user", x) for i, x in enumerate(texts)], "conv_id long, turn int, role string, text string"))}
+    want = {i: distance(a, b) / len(a) for i, (a, b) in enumerate(zip(texts, texts[1:], strict=False), 1) if a}
+    assert got == {i: (round(r, 6), bucket(r)) for i, r in want.items()}
+
+    given = spark.read.parquet(f"{DATA}/conversations.parquet").sort("conv_id", "turn").collect()
+    got = {(r.conv_id, r.turn): r.cer for r in registry.queries()["fn65_edit_distance_cer"](spark, DATA).collect()}
+    pairs = [(a, b) for a, b in zip(given, given[1:], strict=False) if a.conv_id == b.conv_id and a.text and len(a.text) * len(b.text) < 40_000]
+    assert len(pairs) > 10
+    for a, b in pairs:
+        assert got[b.conv_id, b.turn] == pytest.approx(distance(a.text, b.text) / len(a.text), abs=1e-6)
