@@ -152,7 +152,11 @@ def complexity(q):
     low = "lower(trim(text))"
     roots = " OR ".join(f"contains({low}, '{r}')" for r in ("diagnos", "recover", "abend", "compar", "tuning", "optimi", "tradeoff"))
     more = " OR ".join(f"contains({low}, '{r}')" for r in ("how to configure", "how do i configure", "how to setup", "how do i create", "step by step", "steps to", "configuration procedure", "versus", " vs ", "difference between"))
-    return f"SELECT conv_id, turn, CASE WHEN {q.like('text', T.MESSAGE)} AND NOT ({roots}) THEN 'simple' WHEN {roots} OR {more} THEN 'complex' ELSE 'simple' END AS complexity FROM conversations"
+    rule = ""  # DuckDB's text doesn't have the last rule
+    if q.name == "spark":
+        ask, topic = (" OR ".join(f"contains({low}, '{r}')" for r in words) for words in (("how to", "how do", "how can", "explain how", "procedure"), ("rule", "interval", "parameter", "parmlib", "jcl", "policy", "threshold", "journal")))
+        rule = f"WHEN ({ask}) AND ({topic}) THEN 'complex' "
+    return f"SELECT conv_id, turn, CASE WHEN {q.like('text', T.MESSAGE)} AND NOT ({roots}) THEN 'simple' WHEN {roots} OR {more} THEN 'complex' {rule}ELSE 'simple' END AS complexity FROM conversations"
 
 
 def queries_normalised(q):

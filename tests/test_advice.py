@@ -79,3 +79,18 @@ def test_fn07_traps_of_all_shapes(spark, tmp_path):
     asked = [*TRAPS, *PLAIN]
     got = {r.turn: r.screen for r in rows(spark, tmp_path, "fn07_screen", conversations=([(1, i, "user", x) for i, x in enumerate(asked)], "conv_id long, turn int, role string, text string"))}
     assert [x for i, x in enumerate(asked) if got[i] == "trap"] == TRAPS
+
+
+def test_fn46_procedures_of_rules_are_complex(spark, tmp_path):
+    asked = {
+        "how do I set the threshold policy": "complex",
+        "  Explain HOW the journal is kept ": "complex",
+        "procedure for parmlib": "complex",
+        "how can I change an interval": "complex",
+        "how do I log on": "simple",
+        "what is the JCL DISP parameter": "simple",
+        "how to resolve IEA500I with a rule": "simple",
+        "how to recover IEA500I": "complex",
+    }
+    got = {r.turn: r.complexity for r in rows(spark, tmp_path, "fn46_complexity", conversations=([(1, i, "user", x) for i, x in enumerate(asked)], "conv_id long, turn int, role string, text string"))}
+    assert got == dict(enumerate(asked.values()))
