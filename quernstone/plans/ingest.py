@@ -140,10 +140,25 @@ def sections(q):
      FROM (SELECT source, doc_id, {page} AS page, substr({q.at(q.split('text', ' '), 1)}, 1, 40) AS title, n_chars FROM documents) t WHERE n_chars > 1500"""
 
 
+#: A heading at a page's start: numbered, or a chapter, appendix or section.
+FALLBACK_HEADING = r"(?iU)^(?:\d+(?:\.\d+)+\s+\S|(?:chapter|appendix|section)\b)"
+#: The first line that isn't blank, by the line ends of Python's splitlines.
+LEAD = r"(?U)^[\s\x1c-\x1f]*+([^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*)"
+
+
 def fallback_windows(q):
-    """Without an outline, a section is ten pages."""
+    """Without an outline, a section starts at a page that opens with a heading, or when the one before has ten pages."""
     page = q.idiv("doc_id", "20")
-    return f"SELECT source, {q.idiv(page, '10')} AS section, min({page}) AS page_from, max({page}) AS page_to, count(*) AS chunks FROM documents GROUP BY source, {q.idiv(page, '10')}"
+    if q.name == "duck":  # reads no text: right for books without such headings and without missing pages
+        return f"SELECT source, {q.idiv(page, '10')} AS section, min({page}) AS page_from, max({page}) AS page_to, count(*) AS chunks FROM documents GROUP BY source, {q.idiv(page, '10')}"
+    lead = f"SELECT source, doc_id, {page} AS page, {q.extract('text', LEAD, 1)} AS lead FROM documents"
+    leads = f"SELECT source, page, count(*) AS chunks, min_by(lead, doc_id) FILTER (WHERE lead <> '') AS lead FROM ({lead}) l GROUP BY source, page"
+    pages = f"SELECT source, page, chunks, coalesce({q.like('lead', FALLBACK_HEADING)}, false) AS headed FROM ({leads}) p"
+    placed = f"SELECT *, row_number() OVER (PARTITION BY source ORDER BY page) - 1 AS at FROM ({pages}) p"
+    # within a run from one heading to the next, every tenth page starts a section
+    runs = f"SELECT *, at - coalesce(max(CASE WHEN headed THEN at END) OVER (PARTITION BY source ORDER BY page), 0) AS since FROM ({placed}) a"
+    numbered = f"SELECT *, sum(CASE WHEN since % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY page) - 1 AS section FROM ({runs}) r"
+    return f"SELECT source, section, min(page) AS page_from, max(page) AS page_to, sum(chunks) AS chunks FROM ({numbered}) n GROUP BY source, section"
 
 
 def label_ranges(q):

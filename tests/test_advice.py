@@ -1,5 +1,8 @@
 """What the review of the first round found missing, held against brute force."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 
@@ -94,3 +97,33 @@ def test_fn46_procedures_of_rules_are_complex(spark, tmp_path):
     }
     got = {r.turn: r.complexity for r in rows(spark, tmp_path, "fn46_complexity", conversations=([(1, i, "user", x) for i, x in enumerate(asked)], "conv_id long, turn int, role string, text string"))}
     assert got == dict(enumerate(asked.values()))
+
+
+def fallback_sections(pages: list[str]) -> list[tuple[int, int]]:
+    """(first, last) page of each section, page after page."""
+    heading = re.compile(r"^\s*(?:\d+(?:\.\d+)+\s+\S|(?:chapter|appendix|section)\b)", re.I)
+    found, start = [], 0
+    for i, text in enumerate(pages):
+        lead = next((x.strip() for x in text.splitlines() if x.strip()), "")
+        if i > start and (heading.match(lead) or i - start >= 10):
+            found.append((start, i - 1))
+            start = i
+    return [*found, (start, len(pages) - 1)]
+
+
+def test_wn24_sections_start_at_headings_and_count_anew(spark, tmp_path):
+    rng = random.Random(3)
+    leads = ["1.2 Setup", "\n \n  Chapter 4", "APPENDIX B.", "section", "sections of it", "1. Setup", "1.2", "1.2\nSetup", "text\n1.2 Setup", "\t3.4.5\tMore", "chapteré", "é", "", " \n", "\x0b\x0cChapter", "　２.３ x", "\u2028Section 1", "\x85 appendix"]
+    books = {"a": ["plain"] * 35, "b": ["plain"] * 4 + ["Chapter 2\nx"] + ["plain"] * 23, "c": ["plain"]}
+    books |= {f"r{k}": [rng.choice(leads) if rng.random() < 0.2 else "plain words" for _ in range(60)] for k in range(8)}
+    data = [(20 * i + k, text, "en", source, len(text)) for k, (source, pages) in enumerate(books.items()) for i, text in enumerate(pages)]
+    got = rows(spark, tmp_path, "wn24_fallback_windows", documents=(data, "doc_id long, text string, lang string, source string, n_chars long"))
+    want = [(source, i, a, b, b - a + 1) for source, pages in books.items() for i, (a, b) in enumerate(fallback_sections(pages))]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_wn24_pages_of_several_texts(spark, tmp_path):
+    """A page of several texts opens with the first that isn't blank; pages that are missing don't count."""
+    data = [(0, "x", "a"), (1, "Chapter 1", "a"), (40, " ", "a"), (41, "Chapter 2", "a"), (60, None, "a"), *[(20 * p, "x", "a") for p in range(10, 20)]]
+    got = rows(spark, tmp_path, "wn24_fallback_windows", documents=([(i, t, "en", s, 1) for i, t, s in data], "doc_id long, text string, lang string, source string, n_chars long"))
+    assert sorted(map(tuple, got)) == [("a", 0, 0, 0, 2), ("a", 1, 2, 17, 11), ("a", 2, 18, 19, 2)]
