@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -94,11 +94,18 @@ def rrf_tie_rule(spark, d):
     return ranking.fused_order(fused, "item_id", FUSED, low=ranking.demoted("item_id", "source", "is_front")).select("item_id", "doc_id", "is_front", "rank", F.round("score", 9).alias("score"))
 
 
+def headed_by(text: Column, word: Column) -> Column:
+    """Whether some line begins, after marks and blanks, with the whole word, in any case."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    found = F.regexp_like(text, F.concat(F.lit(r"(?dimu)^[^\p{L}\p{N}_\n]*"), quoted, F.lit(r"(?![\p{L}\p{N}_])")))
+    return F.coalesce((word != "") & found, F.lit(False))
+
+
 def entry_headed_first(spark, d):
-    """Rows whose text starts a line with the passage's first word come first."""
+    """Rows whose text has a line that the passage's first word heads come first."""
     asked = table(spark, d, "benchmark").select("item_id", F.element_at(F.split("text", " "), 1).alias("word"))
     fused = _fused(spark, d).join(asked, "item_id").join(_chunks(spark, d).select("doc_id", "text"), "doc_id")
-    headed = F.exists(F.split("text", "\n"), lambda line: F.startswith(F.lower(line), F.lower(F.concat("word", F.lit(" ")))))
+    headed = headed_by(F.col("text"), F.col("word"))
     return ranking.fused_order(fused.withColumn("headed", headed), "item_id", FUSED, headed=F.col("headed")).select("item_id", "doc_id", "headed", "rank")
 
 

@@ -127,3 +127,34 @@ def test_wn24_pages_of_several_texts(spark, tmp_path):
     data = [(0, "x", "a"), (1, "Chapter 1", "a"), (40, " ", "a"), (41, "Chapter 2", "a"), (60, None, "a"), *[(20 * p, "x", "a") for p in range(10, 20)]]
     got = rows(spark, tmp_path, "wn24_fallback_windows", documents=([(i, t, "en", s, 1) for i, t, s in data], "doc_id long, text string, lang string, source string, n_chars long"))
     assert sorted(map(tuple, got)) == [("a", 0, 0, 0, 2), ("a", 1, 2, 17, 11), ("a", 2, 18, 19, 2)]
+
+
+def entry_headed(text: str, word: str) -> bool:
+    return bool(word and text) and re.search(rf"^[^\w\n]*(?:{re.escape(word)})(?!\w)", text, re.I | re.M) is not None
+
+
+def test_pf07_heading_words_as_the_reference_finds_them(spark):
+    words = ["word", "Été", "a.b", r"x\Ey", "IEA500I", "", "(", "10"]
+    around = ["{}", "- {}", " {}", "{}:", "x\n\t{}", "x\n{}\ny", "{}s", "{}_", "{}é", "a {}", "x\r{}", "x {}", "**{}** b", "_{}", "{} a", "é{}", "\n\n{}.", "x\n\n- {}"]
+    pairs = [(i, a.format(w.swapcase() if i % 2 else w), w) for i, (w, a) in enumerate((w, a) for w in words for a in around)] + [(-1, None, "word"), (-2, "", "word")]
+    df = spark.createDataFrame(pairs, "i int, text string, word string")
+    got = {r.i: r.h for r in df.select("i", retrieval.headed_by(df.text, df.word).alias("h")).collect()}
+    assert got == {i: entry_headed(t, w) for i, t, w in pairs}
+
+
+def test_pf07_puts_headed_documents_first(spark, tmp_path):
+    """Of documents that hold the passage, those that it heads behind marks, blanks or before other marks."""
+    texts = ["zebra crossing", "a zebra crossing", "- zebra: crossing", " zebra\ncrossing", "the zebras crossing", "crossing\nzebra"]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = rows(spark, tmp_path, "pf07_entry_headed_first", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), benchmark=([(1, "zebra crossing")], "item_id long, text string"))
+    assert {r.doc_id for r in got if r.headed} == {0, 2, 3, 5}
+    assert sorted(r.rank for r in got if r.headed) == [0, 1, 2, 3]
+
+
+def test_pf07_on_the_given_tables(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    asked = {r.item_id: r.text.split(" ")[0] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    got = registry.queries()["pf07_entry_headed_first"](spark, DATA).collect()
+    assert [r.headed for r in got] == [entry_headed(docs[r.doc_id], asked[r.item_id]) for r in got]
+    order = [(r.item_id, not r.headed) for r in sorted(got, key=lambda r: (r.item_id, r["rank"]))]
+    assert order == sorted(order)
