@@ -31,21 +31,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return known.where(keep).select(docs.columns)
 
 
+def _nodes(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and the name of the column that tells (doc_id, text) apart: doc_id itself where it doesn't repeat, else one in the same order."""
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1):
+        return docs, "doc_id"
+    place = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return docs.withColumn("_node", F.concat(place, F.coalesce(F.sha2("text", 256), F.lit("")))), "_node"
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, and one of rows that repeat it."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if again.head(1):
-        again = written(again, "repeated-ids")
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """Keeps one document of each group of near duplicates, and one of rows that repeat its id and text."""
+    nodes, node = _nodes(docs)
+    gone = near_dedup.near_duplicates(nodes, node).where(~F.col("kept")).select(F.col("id").alias(node)).distinct()
+    kept = nodes.join(gone, node, "left_anti")
+    if node != "doc_id":
+        again = written(nodes.groupBy(node).count().where(f"count > 1 AND {node} IS NOT NULL").select(node), "repeated")
+        kept = kept.join(again, node, "left_anti").unionByName(kept.join(again, node, "left_semi").dropDuplicates([node]))
     return kept.select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; documents without any keep theirs as it is."""
-    cut = substring_dedup.cut(docs).select(F.col("id").alias("doc_id"), F.col("kept").alias("_kept"))
-    return _with_text(docs, docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("_kept", "text")))
+    nodes, node = _nodes(docs)
+    cut = substring_dedup.cut(nodes, node).select(F.col("id").alias(node), F.col("kept").alias("_kept"))
+    return _with_text(docs, nodes.join(cut, node, "left").withColumn("text", F.coalesce("_kept", "text")))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
