@@ -44,19 +44,14 @@ def _checked(h: str) -> str:
     return f"(shiftleft(shiftright({h}, {CHECK}), {CHECK}) | (xxhash64(shiftright({h}, {CHECK})) & {(1 << CHECK) - 1}L))"
 
 
-def _pure(c: str, i: str, size: int) -> str:
-    """Whether a cell holds a single digest: its checksum fits and the digest belongs in this cell."""
-    return f"(abs({c}.n) = 1 AND ({c}.k & {(1 << CHECK) - 1}L) = (xxhash64(shiftright({c}.k, {CHECK})) & {(1 << CHECK) - 1}L) AND {_belongs(f'{c}.k', i, size)})"
-
-
-def _belongs(item: str, cell: str, size: int) -> str:
-    """Whether an item goes to a cell; each group of cells takes ten bits of its own."""
-    return f"(shiftright({item}, {CHECK} + 10 * ({cell} div {size})) & {size - 1}L) = {cell} % {size}"
-
-
 def _hits(items: str, group: int, place: str, size: int, var: str) -> str:
     """The items that go to a place of a group of cells; the group is known here, so that little is left to do for each."""
-    return f"filter({items}, {var} -> (shiftright({var}, {CHECK + 10 * group}) & {size - 1}L) = {place})"
+    return f"filter({items}, {var} -> {_goes(var, group, size)} = {place})"
+
+
+def _goes(item: str, group: int, size: int) -> str:
+    """The place of an item in a group of cells; each group takes ten bits of its own."""
+    return f"(shiftright({item}, {CHECK + 10 * group}) & {size - 1}L)"
 
 
 def _xor(items: str, var: str) -> str:
@@ -73,22 +68,36 @@ def sketch(items: str, size: int) -> str:
     return f"concat({', '.join(f'transform(sequence(0L, {size - 1}L), c -> {let(j)})' for j in range(3))})"
 
 
+def sums(items: str, size: int) -> str:
+    """SQL for the cells' XORs alone, which is all that peeling needs of sketches that aren't kept."""
+    group = lambda j: f"transform(sequence(0L, {size - 1}L), c -> aggregate({items}, 0L, (q, x) -> if({_goes('x', j, size)} = c, q ^ x, q)))"
+    return f"concat({', '.join(map(group, range(3)))})"
+
+
 def subtracted(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (u, v) -> named_struct('n', u.n - v.n, 'k', u.k ^ v.k))"
+    return f"zip_with({a}, {b}, (u, v) -> u ^ v)"
+
+
+def _pure(c: str, i: str, size: int) -> str:
+    """Whether a cell holds a single digest: its checksum fits and the digest belongs in this cell."""
+    own = f"(shiftright({c}, {CHECK} + 10 * ({i} div {size})) & {size - 1}L) = {i} % {size}"
+    return f"({c} <> 0L AND {own} AND ({c} & {(1 << CHECK) - 1}L) = (xxhash64(shiftright({c}, {CHECK})) & {(1 << CHECK) - 1}L))"
 
 
 def peeled(cells: str, size: int) -> str:
-    """SQL for (cells, differ): what peeling leaves, and how many digests it recovered."""
-    hit = lambda j: f"filter(r, x -> (shiftright(x.k, {CHECK + 10 * j}) & {size - 1}L) = i)"
-    changed = "named_struct('n', c.n - aggregate(g, 0, (q, x) -> q + x.n), 'k', c.k ^ aggregate(g, 0L, (q, x) -> q ^ x.k))"
-    less = lambda j: f"transform(array({hit(j)}), g -> if(size(g) = 0, c, {changed}))[0]"
-    groups = ", ".join(f"transform(slice(s.cells, {1 + j * size}, {size}), (c, i) -> {less(j)})" for j in range(3))
-    taken = f"transform(array(array_distinct(o)), r -> named_struct('cells', concat({groups}), 'differ', s.differ + size(r), 'live', true))[0]"
-    turn = f"transform(array(filter(s.cells, (c, i) -> {_pure('c', 'i', size)})), o -> if(size(o) = 0, named_struct('cells', s.cells, 'differ', s.differ, 'live', false), {taken}))[0]"
+    """SQL for (cells, differ): what peeling leaves of the XORs, and how many digests it recovered.
+
+    A cell of several digests that passes for a single one (a chance below 2**-26) leaves the sketch unemptied, and it is
+    retried.
+    """
+    less = lambda j: f"transform(slice(s.cells, {1 + j * size}, {size}), (c, i) -> aggregate(r, c, (q, x) -> if({_goes('x', j, size)} = i, q ^ x, q)))"
+    taken = f"named_struct('cells', concat({', '.join(map(less, range(3)))}), 'differ', s.differ + size(r), 'live', true)"
+    pure = f"array_distinct(filter(s.cells, (c, i) -> {_pure('c', 'i', size)}))"
+    turn = f"transform(array({pure}), r -> if(size(r) = 0, named_struct('cells', s.cells, 'differ', s.differ, 'live', false), {taken}))[0]"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'differ', 0, 'live', true), (s, _i) -> if(s.live, {turn}, s))"
 
 
-EMPTY = "forall({}.cells, c -> c.n = 0 AND c.k = 0L)"
+EMPTY = "forall({}.cells, c -> c = 0L)"
 
 
 def blocks(sets: list[str]) -> str:
@@ -107,19 +116,20 @@ def with_differing(df: DataFrame, own: str, own_cells: str, others: list[tuple[s
     First the fingerprints themselves are peeled; what they don't recover is retried block by block, with all sets dealt
     to the same blocks, and blocks that fail are retried larger.
     """
-    df = df.select("*", *[F.expr(peeled(subtracted(own_cells, x), CELLS)).alias(f"_p{w}") for w, (_, _, x) in enumerate(others)])
+    key = lambda cells: f"transform({cells}, c -> c.k)"
+    df = df.select("*", *[F.expr(peeled(subtracted(key(own_cells), key(x)), CELLS)).alias(f"_p{w}") for w, (_, _, x) in enumerate(others)])
     solved = [EMPTY.format(f"_p{w}") for w in range(len(others))]
     dealt = blocks([own, *[x for _, x, _ in others]])
     df = df.select("*", F.expr(f"if({' AND '.join(solved)}, filter({dealt}, x -> false), {dealt})").alias("_b"))
     size = RETRIES[0]
-    peels = ", ".join(f"'s{w}', {peeled(subtracted('z', sketch(f'e.x{w + 1}', size)), size)}" for w in range(len(others)))
-    df = df.select("*", F.expr(f"transform(_b, e -> transform(array({sketch('e.x0', size)}), z -> named_struct('e', e, {peels}))[0])").alias("_r0"))
+    peels = ", ".join(f"'s{w}', {peeled(subtracted('z', sums(f'e.x{w + 1}', size)), size)}" for w in range(len(others)))
+    df = df.select("*", F.expr(f"transform(_b, e -> transform(array({sums('e.x0', size)}), z -> named_struct('e', e, {peels}))[0])").alias("_r0"))
     done = lambda w: EMPTY.format(f"r.s{w}")
     left = ", ".join(f"if({solved[w]}, array(), transform(filter(_r0, r -> NOT {done(w)}), r -> named_struct('w', {w}, 'a', r.e.x0, 'b', r.e.x{w + 1})))" for w in range(len(others)))
     count = [f"if({solved[w]}, _p{w}.differ, aggregate(filter(_r0, r -> {done(w)}), 0, (q, r) -> q + r.s{w}.differ))" for w in range(len(others))]
     df = df.select("*", F.expr(f"concat({left})").alias("_b1"), *[F.expr(x).alias(f"_n1_{w}") for w, x in enumerate(count)])
     for k, size in enumerate(RETRIES[1:], 1):
-        state = peeled(subtracted(sketch("e.a", size), sketch("e.b", size)), size)
+        state = peeled(subtracted(sums("e.a", size), sums("e.b", size)), size)
         df = df.select("*", F.expr(f"transform(_b{k}, e -> named_struct('e', e, 's', {state}))").alias(f"_r{k}"))
         found = [F.expr(f"_n{k}_{w} + aggregate(filter(_r{k}, r -> r.e.w = {w} AND {EMPTY.format('r.s')}), 0, (q, r) -> q + r.s.differ)").alias(f"_n{k + 1}_{w}") for w in range(len(others))]
         df = df.select("*", F.expr(f"transform(filter(_r{k}, r -> NOT {EMPTY.format('r.s')}), r -> r.e)").alias(f"_b{k + 1}"), *found)
