@@ -15,9 +15,11 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents
@@ -165,7 +167,13 @@ class ByteBPE:
                 if a is not None and b is not None:
                     pairs[a, b] = i
         self.merger = Merger(single, single, pairs)
-        self.cache = WordCache(regex.compile(pattern).findall, self.encode_words)
+        self.find = regex.compile(pattern).findall
+        self.cache = WordCache(self.split, self.encode_words)
+
+    def split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The pattern's matches in each text."""
+        words = list(map(self.find, texts))
+        return pa.array(list(chain.from_iterable(words)), pa.large_string()), np.fromiter(map(len, words), np.int64, len(words))
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """A word that is a token as a whole takes its id; the others are merged."""

@@ -16,16 +16,19 @@ import hashlib
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Merger
 from .common import documents, written
-from .word_cache import CACHED_WORDS, WordCache
+from .word_cache import Remembered, WordCache
 
 #: What the fast path below knows of a tokenizer, its normaliser's steps and its split pattern.
 STEPS = ["NFC", "Replace", "Lowercase"]
@@ -54,8 +57,9 @@ class WordTokenizer:
         steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
         rule = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if parts["pre_tokenizer"] else ""
         self.merger = self._merger(parts["model"]) if steps == STEPS and rule == SPLIT else None
-        self.find, self.known = regex.compile(SPLIT + "| ").findall, {" ": BETWEEN}
-        self.cache = WordCache(self._split, self._encode)
+        self.find = regex.compile(SPLIT + "| ").findall
+        self.words = Remembered(self._merged)
+        self.cache = WordCache(self._split, self._plain)
 
     @staticmethod
     def _merger(model: dict) -> Merger | None:
@@ -73,28 +77,38 @@ class WordTokenizer:
             return None
         return Merger(np.array([vocab[x] for x in letters], np.int64), np.array([vocab[x + suffix] for x in letters], np.int64), pairs)
 
-    def _split(self, text: str) -> list[str]:
-        if self.merger is None or self.beyond(text):
-            return [" " + text]  # encoded as a whole; no part of a split starts so
-        return text.lower().split()
+    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order. Texts that the fast path doesn't know are encoded as a whole and not remembered."""
+        apart: deque[bytes | None] = deque()
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        whole = [x[0] == " " for x in parts]
-        plain = iter(self._plain([x for x, w in zip(parts, whole, strict=True) if not w] if any(whole) else parts))
-        if not any(whole):
-            return list(plain)
-        return [np.array(self.whole.encode(x[1:], add_special_tokens=False).ids, "<u4").tobytes() if w else next(plain) for x, w in zip(parts, whole, strict=True)]
+        def plain() -> Iterator[str]:
+            for text in texts:
+                whole = bool(text) and (self.merger is None or bool(self.beyond(text)))
+                apart.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if whole else None)
+                yield "" if whole else text or ""
+
+        for found in self.cache.ids(plain()):
+            whole = apart.popleft()
+            yield found if whole is None else whole
+
+    @staticmethod
+    def _split(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Parts between white space, with empty ones at a text's blank edges."""
+        parts = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        return parts.flatten(), np.diff(parts.offsets.to_numpy())
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words; of a blank, what stands between two parts."""
+        made = iter(self.merger.merge([w.encode() for w in words if w != " "]))
+        return [BETWEEN if w == " " else next(made) for w in words]
 
     def _plain(self, parts: list[str]) -> list[bytes]:
         """Ids of parts without white space, all in one go with a separator between them."""
-        if not parts:
-            return []
         words = self.find(" ".join(parts))
-        if len(self.known) > CACHED_WORDS:
-            self.known = {" ": BETWEEN}
-        if new := [w for w in set(words) if w not in self.known]:
-            self.known.update(zip(new, self.merger.merge([w.encode() for w in new]), strict=True))
-        return b"".join(map(self.known.__getitem__, words)).split(BETWEEN)
+        self.words.learn(set(words).difference(self.words.young))
+        out = b"".join(map(self.words.young.__getitem__, words)).split(BETWEEN)
+        self.words.settle()
+        return out
 
 
 def byte_letters() -> list[str]:
@@ -124,7 +138,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end: int = 0, id_c
         tokenizer = built(file.value)
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch["id"].tolist(), tokenizer.cache.ids(batch["text"]), strict=True):
+            for doc, ids in zip(batch["id"].tolist(), tokenizer.ids(batch["text"]), strict=True):
                 ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

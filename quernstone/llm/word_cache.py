@@ -4,38 +4,77 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-#: Characters of text encoded at a time, and words remembered by a worker.
-CHUNK_CHARS = 1 << 20
-CACHED_WORDS = 200_000
+import numpy as np
+import pyarrow as pa
+
+#: Characters of text encoded at a time.
+CHUNK_CHARS = 1 << 21
+#: Bytes (estimated) of a generation of remembered words; there are two of them.
+CACHED_BYTES = 40 << 20
+#: Bytes that an entry takes besides its characters: a string, a bytes object and its share of the dictionary.
+ENTRY = 190
+
+
+class Remembered:
+    """Ids of words in two generations of bounded bytes.
+
+    New words, and old ones that occur again, go to the young generation; when that is full it becomes the old one, whose
+    words are forgotten unless they have occurred meanwhile. Frequent words so stay, and rare ones don't push them out.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHED_BYTES):
+        self.encode, self.limit, self.young, self.old, self.bytes = encode, limit, {}, {}, 0
+
+    def learn(self, words: set[str]) -> None:
+        """Puts words that the young generation lacks into it."""
+        again = words.intersection(self.old)
+        known = {w: self.old[w] for w in again}
+        if fresh := list(words - again):
+            known.update(zip(fresh, self.encode(fresh), strict=True))
+        self.young.update(known)
+        self.bytes += ENTRY * len(known) + sum(map(len, known)) + sum(map(len, known.values()))
+
+    def settle(self) -> None:
+        """Ends a chunk: the generations change places if the young one is full."""
+        if self.bytes > self.limit:
+            self.young, self.old, self.bytes = {}, self.young, 0
 
 
 class WordCache:
-    """split gives a text's words; encode gives, for distinct words, their ids as little-endian 32-bit integers."""
+    """split gives the words of some texts, one text after the other, and how many each has; encode gives, for distinct
+    words, their ids as little-endian 32-bit integers."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], limit: int = CACHED_WORDS):
-        self.split, self.encode, self.limit, self.known = split, encode, limit, {}
+    def __init__(self, split: Callable[[list[str]], tuple[pa.Array, np.ndarray]], encode: Callable[[list[str]], list[bytes]], limit: int = CACHED_BYTES):
+        self.split, self.words = split, Remembered(encode, limit)
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; a null text has none. Texts are whole, whatever their length."""
-        chunk: list[list[str]] = []
+        chunk: list[str] = []
         chars = 0
         for text in texts:
-            chunk.append(self.split(text) if text else [])
-            chars += len(text or "")
+            chunk.append(text or "")
+            chars += len(chunk[-1])
             if chars >= CHUNK_CHARS:
                 yield from self._chunk(chunk)
                 chunk, chars = [], 0
-        yield from self._chunk(chunk)
-
-    def _chunk(self, chunk: list[list[str]]) -> Iterator[bytes]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new: set[str] = set()
-        for words in chunk:
-            new.update(words)
-        known = self.known
-        if words := [w for w in new if w not in known]:
-            known.update(zip(words, self.encode(words), strict=True))
-        get = known.__getitem__
-        for words in chunk:
-            yield b"".join(map(get, words))
+        if chunk:
+            yield from self._chunk(chunk)
+
+    def _chunk(self, texts: list[str]) -> Iterator[bytes]:
+        """Each distinct word of the chunk is looked up once; the rest is gathering in numpy."""
+        words, counts = self.split(texts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.words.learn(set(distinct).difference(self.words.young))
+        found = list(map(self.words.young.__getitem__, distinct))
+        self.words.settle()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        place = np.arange(int(n.sum()), dtype=np.int64)
+        place += np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n)
+        ids = np.frombuffer(b"".join(found), "<u4").take(place).tobytes()
+        at = 4 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield ids[a:b]
