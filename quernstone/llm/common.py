@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is unset (local tests), a folder of this machine is made and remembered in the session.
+    Where the setting is unset, a local session gets a folder of this machine, remembered in the session; any other
+    session raises, as its executors would each write to a disk of their own.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -43,3 +47,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Names like those given that no column in taken has, whatever their case."""
+    lower, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name in lower:
+            name = f"_{name}"
+        lower.add(name)
+        out.append(name)
+    return out
