@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import language_id, near_dedup, packing, pii, substring_dedup
-from quernstone.llm.common import documents, written
+from quernstone.llm.common import documents, unused, written
 
 CAPACITY = 2048
 
@@ -52,9 +52,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; documents without any keep theirs as it is."""
-    nodes, node = _nodes(docs)
-    cut = substring_dedup.cut(nodes, node).select(F.col("id").alias(node), F.col("kept").alias("_kept"))
-    return _with_text(docs, nodes.join(cut, node, "left").withColumn("text", F.coalesce("_kept", "text")))
+    names = unused(docs.columns, "n_words", "n_removed", "kept", "kept_sha256")
+    cut = substring_dedup.cut(docs, names=tuple(names))
+    return _with_text(docs, cut.withColumn("text", F.coalesce(names[2], "text")))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
