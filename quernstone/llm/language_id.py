@@ -7,21 +7,23 @@ has the largest cosine with it.
 
 Defined results: a null text, or one without letters, is `und` with score 0, as is every text when nothing was learned;
 ties go to the language that sorts first; repeated rows each get their result; an empty table gives an empty result;
-other columns than those named are not read.
+an id has no part in a prediction, so repeated ids may have
+different texts; other columns than those named are not read, and carried ones pass unchanged.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, unused
 
 DIMENSIONS = 512
 SEED = 20_011
@@ -30,7 +32,8 @@ LEARN_FROM = 20_000
 UNKNOWN = "und"
 #: Letters beyond the Latin blocks share this many vectors.
 DIRECT, LETTERS = 0x250, 4096
-TRIGRAMS = 40_000
+#: Trigrams whose vectors are made at a time.
+TRIGRAMS = 16_384
 
 
 @cache
@@ -47,54 +50,58 @@ def letter_vector(letter: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([SEED, letter])).choice(np.array([-1, 1], np.int8), DIMENSIONS)
 
 
-class Bundler:
-    """Vectors of documents. Trigram vectors are remembered up to a bound."""
-
-    def __init__(self):
-        self.keys, self.rows = np.empty(0, np.int64), np.empty((0, DIMENSIONS), np.int8)
-
-    def _bound(self, keys: np.ndarray) -> np.ndarray:
-        """Vectors of the trigrams, the first letter permuted twice, the second once."""
-        rows = np.empty((len(keys), DIMENSIONS), np.int8)
-        for i, key in enumerate(keys.tolist()):
-            rows[i] = np.roll(letter_vector(key >> 24), 2) * np.roll(letter_vector(key >> 12 & 4095), 1) * letter_vector(key & 4095)
-        return rows
-
-    def _vectors(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        if not known.all():
-            if len(self.keys) > TRIGRAMS:
-                return self._bound(keys)
-            new = keys[~known]
-            order = np.argsort(merged := np.concatenate([self.keys, new]), kind="stable")
-            self.keys, self.rows = merged[order], np.concatenate([self.rows, self._bound(new)])[order]
-            at = np.searchsorted(self.keys, keys)
-        return self.rows[at]
-
-    def bundle(self, text: str | None) -> np.ndarray | None:
-        """The document's vector, or None without letters. Integer-valued, so the order of adding doesn't matter."""
-        if not text:
-            return None
-        letters = letter_classes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if not letters.any():
-            return None
-        edge = np.zeros(len(letters) + 2, np.int64)
-        edge[1:-1] = letters
-        edge = edge[np.concatenate([[True], (edge[1:] != 0) | (edge[:-1] != 0)])]
-        keys, counts = np.unique((edge[:-2] << 24) | (edge[1:-1] << 12) | edge[2:], return_counts=True)
-        if len(keys) <= TRIGRAMS:
-            return counts.astype(np.float32) @ self._vectors(keys).astype(np.float32)
-        return sum(counts[k : k + TRIGRAMS].astype(np.float64) @ self._bound(keys[k : k + TRIGRAMS]) for k in range(0, len(keys), TRIGRAMS))
-
-
-_BUNDLER: list[Bundler] = []
-
-
-def bundler() -> Bundler:
-    if not _BUNDLER:
-        _BUNDLER.append(Bundler())
-    return _BUNDLER[0]
+@cache
+def letter_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of all letters, permuted by the place in a trigram: twice, once, not at all."""
+    plain = np.stack([letter_vector(k) for k in range(LETTERS)])
+    return np.roll(plain, 2, 1), np.roll(plain, 1, 1), plain
+
+
+def bound(keys: np.ndarray) -> np.ndarray:
+    """Vectors of trigrams: their letters' permuted vectors, multiplied."""
+    first, second, third = letter_table()
+    return first[keys >> 24] * second[keys >> 12 & 4095] * third[keys & 4095]
+
+
+def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of a whole text and their counts; letters are in lower case, and what isn't one is a blank."""
+    none = np.empty(0, np.int64)
+    letters = letter_classes()[np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if not letters.any():
+        return none, none
+    edge = np.zeros(len(letters) + 2, np.int64)
+    edge[1:-1] = letters
+    edge = edge[np.concatenate([[True], (edge[1:] != 0) | (edge[:-1] != 0)])]
+    return np.unique((edge[:-2] << 24) | (edge[1:-1] << 12) | edge[2:], return_counts=True)
+
+
+def bundles(texts: Iterable[str | None]) -> Iterator[np.ndarray | None]:
+    """Each text's vector, or None without letters. Integer-valued, so the order of adding doesn't matter.
+
+    The vectors of trigrams are made once for a few texts together, which hold TRIGRAMS of them or little more; a text
+    with more is added up in parts.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def made() -> Iterator[np.ndarray | None]:
+        every = np.unique(np.concatenate([k for k, _ in held])) if held else np.empty(0, np.int64)
+        rows = bound(every) if len(every) <= 2 * TRIGRAMS else None
+        for keys, counts in held:
+            if not len(keys):
+                yield None
+            elif rows is not None:
+                yield counts.astype(np.float32) @ rows[np.searchsorted(every, keys)].astype(np.float32)
+            else:
+                yield sum(counts[k : k + TRIGRAMS].astype(np.float64) @ bound(keys[k : k + TRIGRAMS]) for k in range(0, len(keys), TRIGRAMS))
+
+    for text in texts:
+        held.append(trigrams(text))
+        size += len(held[-1][0])
+        if size >= TRIGRAMS:
+            yield from made()
+            held, size = [], 0
+    yield from made()
 
 
 def learn(df: DataFrame, language: str, id_column: str, text_column: str, learn_from: int = LEARN_FROM) -> dict[str, np.ndarray]:
@@ -109,8 +116,7 @@ def learn(df: DataFrame, language: str, id_column: str, text_column: str, learn_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                v = bundler().bundle(text)
+            for lang, v in zip(batch["lang"], bundles(batch["text"]), strict=True):
                 if v is not None and (norm := float(np.sqrt(np.dot(v.astype(np.float64), v)))):
                     made[lang] = made.get(lang, 0) + np.rint(v * (1e6 / norm)).astype(np.int64)
         if made:
@@ -131,11 +137,11 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_column: str = "
     apart = raw - raw.mean(0) if len(names) > 1 else raw
     apart = apart / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, score = [], []
-            for text in batch[source]:
-                v = bundler().bundle(text) if names else None
+            texts = batch.column(source).to_pylist()
+            for v in bundles(texts) if names else [None] * len(texts):
                 norm = 0.0 if v is None else float(np.sqrt(np.dot(v.astype(np.float64), v)))
                 if not norm:
                     pred.append(UNKNOWN), score.append(0.0)
@@ -143,12 +149,13 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_column: str = "
                 cosine = apart @ (v / norm).astype(np.float64)
                 best = int(cosine.argmax())
                 pred.append(names[best]), score.append(min(1.0, max(0.0, round((1 + float(cosine[best])) / 2, 9))))
-            yield batch[kept].assign(**dict(zip(names_out, (pred, score), strict=True)))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, *names_out])
 
     kept = [id_column, *carry]
-    source = text_column if text_column in kept else "_text"
+    source = text_column if text_column in kept else unused(kept, "text")[0]
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept)
-    return df.select(*kept, *[F.col(text_column).alias("_text")] * (source == "_text")).mapInPandas(run, f"{kinds}`{names_out[0]}` string, `{names_out[1]}` double")
+    read = [F.col(f"`{c}`") for c in kept] + [F.col(f"`{text_column}`").alias(source)] * (source not in kept)
+    return df.select(*read).mapInArrow(run, f"{kinds}`{names_out[0]}` string, `{names_out[1]}` double")
 
 
 def held_out(id_column: str = "doc_id") -> Column:
