@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,23 +241,21 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 
 def redact(df: DataFrame, text_column: str = "text") -> DataFrame:
     """df with every found span replaced by its kind in angle brackets. Reads the texts twice and moves nothing."""
-    chosen = learned(tables(df.withColumn("_pii_id", F.lit(0)).select("_pii_id", text_column), "_pii_id", text_column))
+    chosen = learned(tables(df.select(F.lit(0).alias("id"), F.col(f"`{text_column}`").alias("text")), "id", "text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch[text_column]:
+            out, place = [], batch.schema.get_field_index(text_column)
+            for text in batch.column(place).to_pylist():
                 at, parts = 0, []
                 for s, e, k in sorted((s, e, k) for k, s, e in accepted(described(text), chosen)[1]):
                     if s >= at:
                         parts += [text[at:s], f"<{KINDS[k].upper()}>"]
-                    elif e > at:
-                        pass  # its rest goes with the span before
-                    at = max(at, e)
+                    at = max(at, e)  # what overlaps a span before it goes with that one
                 out.append("".join([*parts, text[at:]]) if parts else text)
-            yield batch.assign(**{text_column: out})
+            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
