@@ -37,7 +37,7 @@ def table(rows):
         "source": pa.array([None if k % 5 == 0 else f"s{k % 4}" for k in range(n)], pa.string()),
         "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64()),
     }
-    clash = {c: pa.array([hashlib.md5(f"{c}{k}".encode()).hexdigest() for k in range(n)]) for c in ("id", "size", "key", "place", "range", "rank", "digest", "kept", "score", "found", "length", "seed", "cuts")}
+    clash = {c: pa.array([hashlib.md5(f"{c}{k}".encode()).hexdigest() for k in range(n)]) for c in ("id", "size", "key", "place", "range", "rank", "digest", "kept", "score", "found", "length", "seed", "cuts", "_kept", "_lang_pred", "_lang_score", "_text", "_node", "variant", "lang_pred", "node", "n_words", "_pii_id")}
     return pa.table(own | clash)
 
 
