@@ -1,7 +1,9 @@
 """From raw documents to packed sequences: language, near duplicates, repeated passages, personal data, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Null texts
-and ids pass through as the operators define; other columns are carried.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Other columns
+are carried as they are, whatever their names. A null text has no language and goes in the first stage; the others leave it
+as it is. A null id is compared with nothing. Texts are whole, however long. A document is an id with its text: different
+texts of one id are different documents. An empty table stays one.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from quernstone.llm import language_id, near_dedup, packing, pii, substring_dedu
 from quernstone.llm.common import documents, unused, written
 
 CAPACITY = 2048
+#: Languages that stay; None for all that could be learned.
+LANGUAGES: tuple[str, ...] | None = None
 
 
 def _with_text(docs: DataFrame, new: DataFrame) -> DataFrame:
@@ -23,29 +27,36 @@ def _with_text(docs: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no text, or no letter in it)."""
+    """Keeps documents in one of LANGUAGES, or in any language where that is None; the language found is put down in lang
+    where a document has none. Documents without text, or without a letter, have no language and go. Where nothing could
+    be learned, only those go. Rows are judged each by itself, so those that repeat an id or a text fare alike."""
+    names = unused(docs.columns, "lang_pred", "score")
     prototypes = language_id.learn(docs, "lang", "doc_id", "text")
-    known = language_id.predict(docs, prototypes, carry=tuple(c for c in docs.columns if c != "doc_id"), names_out=("_lang_pred", "_lang_score"))
-    # where nothing could be learned, only texts without letters are turned down
-    keep = F.col("_lang_pred") != language_id.UNKNOWN if prototypes else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return known.where(keep).select(docs.columns)
+    if not prototypes:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = language_id.predict(docs, prototypes, carry=tuple(c for c in docs.columns if c != "doc_id"), names_out=tuple(names))
+    pred = F.col(names[0])
+    kept = found.where(pred != language_id.UNKNOWN if LANGUAGES is None else pred.isin(list(LANGUAGES)))
+    return kept.withColumn("lang", F.coalesce("lang", pred)).select(docs.columns)
 
 
 def _nodes(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs and the name of the column that tells (doc_id, text) apart: doc_id itself where it doesn't repeat, else one in the same order."""
     if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1):
         return docs, "doc_id"
+    name = unused(docs.columns, "node")[0]
     place = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    return docs.withColumn("_node", F.concat(place, F.coalesce(F.sha2("text", 256), F.lit("")))), "_node"
+    return docs.withColumn(name, F.concat(place, F.coalesce(F.sha2("text", 256), F.lit("")))), name
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, and one of rows that repeat its id and text."""
+    """Keeps one document of each group of near duplicates, the one with the least id (of one id's texts, the least by a
+    digest). Of rows that repeat both id and text one stays, whichever it is. Null ids, and texts without words, all stay."""
     nodes, node = _nodes(docs)
     gone = near_dedup.near_duplicates(nodes, node).where(~F.col("kept")).select(F.col("id").alias(node)).distinct()
     kept = nodes.join(gone, node, "left_anti")
     if node != "doc_id":
-        again = written(nodes.groupBy(node).count().where(f"count > 1 AND {node} IS NOT NULL").select(node), "repeated")
+        again = written(nodes.groupBy(node).count().where(F.col(node).isNotNull() & (F.col("count") > 1)).select(node), "repeated")
         kept = kept.join(again, node, "left_anti").unionByName(kept.join(again, node, "left_semi").dropDuplicates([node]))
     return kept.select(docs.columns)
 
