@@ -6,6 +6,7 @@ Ranks are 0-based in legs; every order ends in a unique key, so results don't de
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ RRF_K = 60
 PREFETCH = 40
 #: Queries whose vectors are broadcast at once; more of them go in further blocks.
 QUERY_BLOCK = 4096
+#: Scores held at a time by a task.
+SCORES = 1 << 21
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", first: int = 0) -> DataFrame:
@@ -27,48 +30,40 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank:
 def dense_top(queries: DataFrame, query_key: str, corpus: DataFrame, key: str, vector: str, k: int, same: str | None = None, reach: tuple[str, str] | None = None) -> DataFrame:
     """(query, key, score, rank): exact cosine top-k.
 
-    Query vectors are broadcast in blocks of bounded size and multiplied with batches of the corpus; each batch keeps
-    its own top-k, so k rows a query and batch are dealt out instead of all pairs. With `same`, only corpus rows that
+    Query vectors are read one block after the other, broadcast, and multiplied with parts of the corpus of bounded size;
+    each part keeps its own top-k, so k rows a query and part are dealt out instead of all pairs. With `same`, only corpus rows that
     share the query's value of that column are ranked (the filter comes before the cut). With `reach`, the search is
     approximate: only corpus rows with one of their buckets (second column) among those that the query probes (first
     column) are ranked.
     """
     columns = [query_key, vector, *([same] if same else []), *([reach[0]] if reach else [])]
-    ids = [r[0] for r in queries.select(query_key).sort(query_key).collect()]
     kinds = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, `{key}` {corpus.schema[key].dataType.simpleString()}, score double"
-    parts = []
-    for at in range(0, max(1, len(ids)), QUERY_BLOCK):
-        block = ids[at : at + QUERY_BLOCK]
-        rows = queries.where(F.col(query_key).between(block[0], block[-1])).select(columns).sort(query_key).collect() if block else []
-        matrix = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12) if len(rows) else 1
-        names, groups = np.array([r[0] for r in rows]), np.array([r[2] for r in rows]) if same else None
-        probed = np.zeros((len(rows), 1 + max((b for r in rows for b in r[-1]), default=0)), bool) if reach else None
-        for i, r in enumerate(rows if reach else []):
+    parts, rows = [], iter(queries.select(columns).toLocalIterator())
+    while block := list(islice(rows, QUERY_BLOCK)) or (not parts and [None]):
+        block = [r for r in block if r is not None]
+        matrix = _unit(np.array([r[1] for r in block], float).reshape(len(block), -1))
+        names, groups = np.array([r[0] for r in block]), np.array([r[2] for r in block]) if same else None
+        probed = np.zeros((len(block), 1 + max((b for r in block for b in r[-1]), default=0)), bool) if reach else None
+        for i, r in enumerate(block if reach else []):
             probed[i, r[-1]] = True
         held = corpus.sparkSession.sparkContext.broadcast((matrix, names, groups, probed))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             matrix, names, groups, probed = held.value
+            step = max(1, SCORES // max(1, len(names)))
             for batch in batches:
-                if not len(batch) or not len(names):
-                    continue
-                v = np.array(batch[vector].tolist(), float)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                score = np.round(matrix @ v.T, 6) + 0.0
-                if same:
-                    score[groups[:, None] != batch[same].to_numpy()[None, :]] = -np.inf
-                if reach:
-                    buckets = np.array(batch[reach[1]].tolist())
-                    met = np.zeros(score.shape, bool)
-                    for b in buckets.T:  # a bucket that no query probes may lie past the last probed one
-                        met |= probed[:, np.minimum(b, probed.shape[1] - 1)] & (b < probed.shape[1])
-                    score[~met] = -np.inf
-                own = batch[key].to_numpy()
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, 1)
-                out = pd.DataFrame({query_key: np.repeat(names, order.shape[1]), key: own[order].ravel(), "score": best.ravel()})
-                yield out[np.isfinite(out["score"])]
+                for k0 in range(0, len(batch) if len(names) else 0, step):
+                    part = batch.iloc[k0 : k0 + step]
+                    score = np.round(matrix @ _unit(np.array(part[vector].tolist(), float)).T, 6) + 0.0
+                    if same:
+                        score[groups[:, None] != part[same].to_numpy()[None, :]] = -np.inf
+                    if reach:
+                        met = np.zeros(score.shape, bool)
+                        for b in np.array(part[reach[1]].tolist()).T:  # a bucket that no query probes may lie past the last probed one
+                            met |= probed[:, np.minimum(b, probed.shape[1] - 1)] & (b < probed.shape[1])
+                        score[~met] = -np.inf
+                    i, j = _best(score, part[key].to_numpy(), k)
+                    yield pd.DataFrame({query_key: names[i], key: part[key].to_numpy()[j], "score": score[i, j]})
 
         parts.append(corpus.select(key, vector, *([same] if same else []), *([reach[1]] if reach else [])).mapInPandas(run, kinds))
     every = parts[0]
@@ -77,6 +72,20 @@ def dense_top(queries: DataFrame, query_key: str, corpus: DataFrame, key: str, v
     return top(every, [query_key], [F.desc("score"), F.col(key)], k)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if len(v) else v
+
+
+def _best(score: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k largest finite scores of each row; equal ones by key. Only scores up to the k-th are sorted."""
+    least = np.partition(score, score.shape[1] - k, 1)[:, score.shape[1] - k, None] if score.shape[1] > k else -np.inf
+    i, j = np.nonzero((score >= least) & np.isfinite(score))
+    order = np.lexsort((own[j], -score[i, j], i))
+    i, j = i[order], j[order]
+    nth = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[nth < k], j[nth < k]
+
+
 def rrf(dense: DataFrame, sparse: DataFrame, query: str, key: str, weights=(1.0, 1.0), k: int = RRF_K, boost: Column | None = None) -> DataFrame:
     """Weighted reciprocal-rank fusion of two legs (query, key, rank, ...).
 
@@ -122,34 +131,25 @@ def merge_max(lists: DataFrame, query: str, key: str, k: int = RRF_K) -> DataFra
 
 
 def interleave(lists: DataFrame, query: str, key: str, doc: str, limit: int, k: int = RRF_K) -> DataFrame:
-    """Two lists take turns; each turn places the side's next chunk of a document not shown yet. The rest follows by its
-    best share. Rescored by place. A fold with state, so it runs per query over its (at most two legs of) rows."""
-    kinds = ", ".join(f"`{c}` {lists.schema[c].dataType.simpleString()}" for c in (query, key, doc))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [list(g.sort_values("rank")[[key, doc]].itertuples(index=False, name=None)) for _, g in sorted(pdf.groupby("list"), key=lambda x: x[0])]
-        at, shown, placed, used = [0] * len(sides), set(), [], set()
-        moved = True
-        while moved:
-            moved = False
-            for i, side in enumerate(sides):
-                while at[i] < len(side) and side[at[i]][1] in shown:
-                    at[i] += 1
-                if at[i] < len(side):
-                    placed.append(side[at[i]])
-                    shown.add(side[at[i]][1])
-                    used.add(side[at[i]][0])
-                    at[i], moved = at[i] + 1, True
-        best: dict = {}
-        for i, side in enumerate(sides):
-            for r, (c, d) in enumerate(side):
-                if c not in used and (c not in best or 1 / (k + r + 1) > best[c][0]):
-                    best[c] = (1 / (k + r + 1), best[c][1] if c in best else (i, r), d)
-        tail = [(c, v[2]) for c, v in sorted(best.items(), key=lambda x: (-x[1][0], x[1][1]))]
-        rows = [*placed, *tail][:limit]
-        return pd.DataFrame({query: pdf[query].iloc[0], key: [c for c, _ in rows], doc: [d for _, d in rows], "rank": range(len(rows)), "score": [1 / (k + r + 1) for r in range(len(rows))]})
-
-    return lists.groupBy(query).applyInPandas(run, f"{kinds}, rank int, score double")
+    """Lists 0 and 1 alternate over documents: each turn shows a document's first chunk in that list, if no turn before has
+    shown the document. Chunks that no turn has shown follow by their best share. Scores are those of the final places.
+
+    A window leaves each list one chunk a document; the turns are one aggregate over a query's two arrays (a leg's depth at
+    most), and the tail is the merge by maximum without the chunks shown.
+    """
+    heads = lists.withColumn("nth", F.row_number().over(Window.partitionBy(query, "list", doc).orderBy("rank"))).where("nth = 1")
+    side = lambda n: F.array_sort(F.collect_list(F.when(F.col("list") == n, F.struct("rank", F.col(doc).alias("d"), F.col(key).alias("c")))))
+    both = heads.groupBy(query).agg(side(0).alias("a"), side(1).alias("b"))
+    fresh = "slice(filter(if(t % 2 = 0, a, b), x -> NOT exists(shown, s -> s.d <=> x.d)), 1, 1)"
+    turns = f"aggregate(sequence(1, 2 * greatest(size(a), size(b))), slice(a, 1, 0), (shown, u) -> transform(array(u - 1), t -> concat(shown, {fresh}))[0])"
+    shown = both.select(query, F.posexplode(F.expr(turns)).alias("turn", "x")).select(query, F.col("x.c").alias(key), F.col("x.d").alias(doc), "turn")
+    rest = merge_max(lists, query, key, k).join(shown, [query, key], "left_anti").join(lists.select(query, key, doc).distinct(), [query, key])
+    none = F.lit(None)
+    every = shown.select(query, key, doc, "turn", none.cast("double").alias("share"), none.cast("struct<list:int,rank:int>").alias("met")).unionByName(
+        rest.select(query, key, doc, none.cast("int").alias("turn"), F.col("score").alias("share"), F.col("first_seen").cast("struct<list:int,rank:int>").alias("met"))
+    )
+    placed = top(every, [query], [F.asc_nulls_last("turn"), F.desc("share"), F.asc("met")], limit)
+    return placed.select(query, key, doc, "rank", (1 / (k + F.col("rank") + 1)).alias("score"))
 
 
 def diversify(df: DataFrame, query: str, page: str, doc: str, limit: int, per_page: int, per_doc: int, score: str = "score") -> DataFrame:

@@ -131,11 +131,10 @@ def lexical_overlap(q):
 
 
 def edit_distance(q):
-    """Character error rate of each turn against the turn before it, in fixed classes. DuckDB counts bytes, so its text tells only ASCII apart."""
-    text = "text" if q.name == "spark" else q.replace("text", "[^ -~]", "?")
+    """Character error rate of each turn against the turn before it, in fixed classes. DuckDB counts bytes, so this is held against brute force."""
     rate = "CAST(levenshtein(a, b) AS DOUBLE) / length(a)"
     return f"""SELECT conv_id, turn, round({rate}, 6) AS cer, CASE WHEN {rate} = 0 THEN '0' WHEN {rate} < 0.05 THEN '<0.05' WHEN {rate} < 0.2 THEN '<0.2' WHEN {rate} < 0.5 THEN '<0.5' ELSE '>=0.5' END AS bucket
-     FROM (SELECT conv_id, turn, t AS b, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM (SELECT conv_id, turn, {text} AS t FROM conversations) c) w WHERE a IS NOT NULL AND a <> ''"""
+     FROM (SELECT conv_id, turn, t AS b, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM (SELECT conv_id, turn, text AS t FROM conversations) c) w WHERE a IS NOT NULL AND a <> ''"""
 
 
 def failure_buckets(q):
@@ -152,10 +151,8 @@ def complexity(q):
     low = "lower(trim(text))"
     roots = " OR ".join(f"contains({low}, '{r}')" for r in ("diagnos", "recover", "abend", "compar", "tuning", "optimi", "tradeoff"))
     more = " OR ".join(f"contains({low}, '{r}')" for r in ("how to configure", "how do i configure", "how to setup", "how do i create", "step by step", "steps to", "configuration procedure", "versus", " vs ", "difference between"))
-    rule = ""  # DuckDB's text doesn't have the last rule
-    if q.name == "spark":
-        ask, topic = (" OR ".join(f"contains({low}, '{r}')" for r in words) for words in (("how to", "how do", "how can", "explain how", "procedure"), ("rule", "interval", "parameter", "parmlib", "jcl", "policy", "threshold", "journal")))
-        rule = f"WHEN ({ask}) AND ({topic}) THEN 'complex' "
+    ask, topic = (" OR ".join(f"contains({low}, '{r}')" for r in words) for words in (("how to", "how do", "how can", "explain how", "procedure"), ("rule", "interval", "parameter", "parmlib", "jcl", "policy", "threshold", "journal")))
+    rule = f"WHEN ({ask}) AND ({topic}) THEN 'complex' "
     return f"SELECT conv_id, turn, CASE WHEN {q.like('text', T.MESSAGE)} AND NOT ({roots}) THEN 'simple' WHEN {roots} OR {more} THEN 'complex' {rule}ELSE 'simple' END AS complexity FROM conversations"
 
 
@@ -212,3 +209,5 @@ QUERIES, ORACLES = registered(
         "fn68_judge_label": judge_labels,
     }
 )
+# DuckDB's levenshtein counts bytes, so no SQL is given; tests hold the query against brute force.
+ORACLES.pop("fn65_edit_distance_cer")
