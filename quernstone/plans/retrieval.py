@@ -206,7 +206,7 @@ def _gold(spark, d) -> DataFrame:
     """(item_id, doc_id) of documents that contain the passage: candidates share its rarest inner term."""
     docs, asked = _chunks(spark, d), table(spark, d, "benchmark")
     inner = asked.select("item_id", F.explode(F.expr(f"slice(regexp_extract_all(lower(text), '({index.TERM})', 1), 2, greatest(size(regexp_extract_all(lower(text), '({index.TERM})', 1)) - 2, 0))")).alias("term")).distinct()
-    post = index.postings(docs, "doc_id", "text")
+    post = index.postings(docs, "doc_id", "text", only=inner)
     rare = ranking.top(inner.join(post.groupBy("term").agg(F.count("*").alias("df")), "term"), ["item_id"], [F.asc("df"), F.asc("term")], 1, "nth")
     found = rare.select("item_id", "term").join(post.select("doc_id", "term"), "term").join(asked.select("item_id", F.col("text").alias("passage")), "item_id").join(docs.select("doc_id", "text"), "doc_id")
     return found.where(F.contains("text", "passage")).select("item_id", "doc_id")
