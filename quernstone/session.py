@@ -27,9 +27,10 @@ def reachable(spark: SparkSession) -> SparkSession:
 
     Also switches off one optimisation of Spark 4.1: a union of two inputs dealt out by the same key counts as dealt out
     by that key, but adaptive execution may coalesce the inputs' partitions differently, and an aggregate over the union
-    then gives a key twice.
+    then gives a key twice. Batches that go to Python are bounded in bytes, so that long texts don't add up in a worker.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
