@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters of text encoded at a time.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 21
 #: Bytes (estimated) of a generation of remembered words; there are two of them.
-CACHED_BYTES = 24 << 20
+CACHED_BYTES = 32 << 20
 #: Bytes that an entry takes besides its characters: a string, a bytes object and its share of the dictionary.
 ENTRY = 190
 
