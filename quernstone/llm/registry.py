@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "bpe", "token_counts", "packing", "language_id", "media", "near_dedup", "substring_dedup", "pii", "fingerprints", "sessions")
+MODULES = ("sharding", "bpe", "token_counts", "packing", "language_id", "media", "near_dedup", "substring_dedup", "pii", "fingerprints", "segment_bpe", "sessions", "importance")
 
 
 def queries() -> dict:
