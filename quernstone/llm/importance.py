@@ -34,10 +34,12 @@ def words(text: Column) -> Column:
 
 def features(found: Column, longest: int) -> Column:
     """Runs of 1 to `longest` consecutive words."""
-    runs = [found]
-    for n in range(2, longest + 1):
+
+    def of(n: int) -> Column:
         at = F.when(F.size(found) >= n, F.sequence(F.lit(1), F.size(found) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(found, i, n), " ")))
+        return F.transform(at, lambda i: F.array_join(F.slice(found, i, n), " "))
+
+    runs = [found, *map(of, range(2, longest + 1))]
     return F.concat(*runs) if len(runs) > 1 else found
 
 
