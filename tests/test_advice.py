@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from quernstone.functions import screen
 from quernstone.plans import registry, retrieval
 
 DATA = "/root/testdata/sf0.001"
@@ -79,9 +80,10 @@ TRAPS = [
 PLAIN = ["What is IEA500I?", "convert the certificate from DER to PEM", "show the certificate fields", "give the exact IEASYSxx syntax", "encode the customer number in base64", "ignore the message", "instructions for a new system", "memory from the pool", "", None]
 
 
-def test_fn07_traps_of_all_shapes(spark, tmp_path):
+def test_fn07_traps_of_all_shapes(spark):
     asked = [*TRAPS, *PLAIN]
-    got = {r.turn: r.screen for r in rows(spark, tmp_path, "fn07_screen", conversations=([(1, i, "user", x) for i, x in enumerate(asked)], "conv_id long, turn int, role string, text string"))}
+    made = spark.createDataFrame(list(enumerate(asked)), "i int, q string").select("i", screen.screened("q").alias("screen"))
+    got = {r.i: r.screen for r in made.collect()}
     assert [x for i, x in enumerate(asked) if got[i] == "trap"] == TRAPS
 
 

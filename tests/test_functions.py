@@ -21,15 +21,6 @@ def test_blocks_cover_the_text_within_their_size():
     assert chunks.blocks("") == [] and chunks.blocks(" \n ") == []
 
 
-def test_citations_are_separated_and_checked():
-    body, found = cites.separate("Text.\n\n**Citations:**\n- `SC23-6858, Guide, p. 1`.\n2) SA22-7592-05 Ref;")
-    assert body == "Text." and found == ["SC23-6858, Guide, p. 1", "SA22-7592-05 Ref"]
-
-
-def test_folding_defeats_disguise():
-    assert cites.folded("ＩＧＮＯＲＥ​  Prévious") == "ignore previous"
-
-
 def test_expansion_references_and_fitting():
     glossary = {"IPL": "Initial Program Load", "LE": "Language Environment", "CF": "Coupling Facility"}
     assert cites.expanded("what is ipl in le or cf, IPL", glossary) == "what is ipl in le or cf, IPL ipl (Initial Program Load) cf (Coupling Facility)"
