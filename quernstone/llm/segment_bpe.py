@@ -172,7 +172,7 @@ def newer_letters() -> str:
     found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
     starts = [c for c, b in zip(found, [-1, *found], strict=False) if c != b + 1]
     ends = [c for c, a in zip(found, [*found[1:], -1], strict=True) if a != c + 1]
-    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) or r"\b"
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) or chr(0x10FFFF)
 
 
 class TreeBPE:
@@ -197,18 +197,23 @@ class TreeBPE:
         self.merges = Merges(np.array([vocab[x] for x in letters], np.int64), pairs)
         byte = {x: i for i, x in enumerate(letters)}
         self.added = {a["content"]: a["id"] for a in parts["added_tokens"]}
+        self.decimal = list(map(str, range(1 + max([*vocab.values(), *self.added.values()]))))
         raw = lambda t: bytes([byte[x] for x in t]) if all(x in byte for x in t) else t.encode()
         self.token = {i: raw(t) for t, i in [*vocab.items(), *self.added.items()]}
         # the added token that begins first is cut out, of those that begin at one place the longest
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.find = regex.compile(PATTERN).findall
-        self.unsure = regex.compile(f"[{newer_letters()}]").search
+        newer = newer_letters()
+        self.unsure = regex.compile(f"[{newer}]").search
+        self.beyond = re.compile(f"[{min(newer.replace('-', ''))}-{chr(0x10FFFF)}]").search
         self.cutter = Tokenizer.from_str(file).pre_tokenizer.pre_tokenize_str
         self.cache = WordCache(self.split, self.encode_words)
 
     def cut(self, text: str) -> list[str]:
         """The pattern's matches. Whether a letter of a new version of Unicode is one depends on the library, so it is asked."""
-        return [text[a:b] for _, (a, b) in self.cutter(text)] if self.unsure(text) else self.find(text)
+        if text.isascii() or not self.beyond(text) or not self.unsure(text):
+            return self.find(text)
+        return [text[a:b] for _, (a, b) in self.cutter(text)]
 
     def words(self, text: str) -> list[str]:
         if self.apart is None or not self.apart.search(text):
@@ -224,6 +229,10 @@ class TreeBPE:
         merged = iter(self.merges.merge([w.encode() for w in words if w not in self.added]))
         return [self.added[w].to_bytes(4, "little") if w in self.added else next(merged) for w in words]
 
+    def listed(self, ids: np.ndarray) -> str:
+        """Decimal ids, joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.token.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
@@ -255,7 +264,7 @@ def encode(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
             for raw in bpe.cache.ids(batch["text"]):
                 ids = np.frombuffer(raw, "<u4")
                 tokens.append(len(ids))
-                hashed.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                hashed.append(hashlib.sha256(bpe.listed(ids).encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
                 if keep_ids:
                     kept.append(ids.astype(np.int32))
