@@ -15,7 +15,11 @@ SYNTAX = r"(::=|>>-|>>\+|<--|--\+|-\+-|--\\-)"
 PARAMETER = r"<[a-zA-Z][\w-]*>"
 BOX = "─│┌┐└┘├┤┬┴┼━┃┏┓┗┛"
 SCAN_LINES, TABLE_SHARE = 6, 0.6
+# Whether two or more blanks stand between other characters; which characters are in the columns doesn't matter.
 COLUMNS = r"\S\s{2,}\S"
+#: Ends of lines and white space of all kinds.
+LINE_END = r"[\x0a-\x0d\x1c-\x1e\x85\u2028\u2029]"
+SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 
 
 def all_of(text: Column, pattern: str) -> Column:
@@ -24,8 +28,8 @@ def all_of(text: Column, pattern: str) -> Column:
 
 
 def text_lines(text: Column) -> Column:
-    """Lines that aren't blank."""
-    return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    """Lines that aren't blank, whatever ends them and whatever white space they hold."""
+    return F.filter(F.split(text, LINE_END), lambda x: x.rlike(f"[^{SPACE[1:]}"))
 
 
 def is_table(text: Column) -> Column:
@@ -36,16 +40,17 @@ def is_table(text: Column) -> Column:
 def chunk_type(text: Column) -> Column:
     """message, syntax, table or narrative, by the first rule that fits."""
     rows = text_lines(text)
-    head = F.exists(F.slice(rows, 1, SCAN_LINES), lambda x: x.rlike(MESSAGE_LINE))
+    head = F.exists(F.slice(rows, 1, SCAN_LINES), lambda x: F.regexp_replace(x, f"^{SPACE}+", "").rlike(MESSAGE_LINE))
     many = lambda p: F.size(F.filter(rows, lambda x: x.rlike(p))) >= 2
     syntax = F.contains(text, F.lit("::=")) | many(f"[{BOX}]") | many(SYNTAX) | text.rlike(PARAMETER)
     return F.when(F.size(rows) == 0, "narrative").when(head, "message").when(syntax, "syntax").when(is_table(text), "table").otherwise("narrative")
 
 
-_SQL_MESSAGE = MESSAGE_LINE.replace("'", "''")
+#: The same by arrays of DuckDB, whose patterns have no class for all white space.
+_BLANK = "\\s\\v\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 CHUNK_TYPE_SQL = f"""
-SELECT doc_id, CASE WHEN len(ls) = 0 THEN 'narrative'
- WHEN len(list_filter(ls[1:{SCAN_LINES}], lambda x: regexp_matches(x, '{_SQL_MESSAGE}'))) > 0 THEN 'message'
+SELECT doc_id, CASE WHEN coalesce(len(ls), 0) = 0 THEN 'narrative'
+ WHEN len(list_filter(ls[1:{SCAN_LINES}], lambda x: regexp_matches(x, '^[{_BLANK}]*{MESSAGE_LINE[4:]}'))) > 0 THEN 'message'
  WHEN contains(text, '::=') OR len(list_filter(ls, lambda x: regexp_matches(x, '[{BOX}]'))) >= 2 OR len(list_filter(ls, lambda x: regexp_matches(x, '{SYNTAX}'))) >= 2 OR regexp_matches(text, '{PARAMETER}') THEN 'syntax'
  WHEN len(list_filter(ls, lambda x: regexp_matches(x, '{COLUMNS}'))) >= {TABLE_SHARE} * len(ls) THEN 'table' ELSE 'narrative' END AS chunk_type
-FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)"""
+FROM (SELECT doc_id, text, list_filter(string_split_regex(text, '[\\n\\v\\f\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS ls FROM documents)"""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import text as T
+from ..sources.tables import table
 from .dialect import registered
 
 #: Notes with identifiers, derived from every event.
@@ -50,18 +53,13 @@ def form_family(q):
     return f"SELECT event_id, {q.extract('note', '([A-Z]{2,4}[0-9]{2}-[0-9]{4})', 1)} AS family, {q.replace('note', T.DOCNO, '')} AS stripped FROM ({NOTES}) n"
 
 
-def chunk_types(q):
+def chunk_types(spark, d):
     """message, syntax, table or narrative for every document."""
-    rows = q.filter(q.split("text", "\n"), "x", "trim(x) <> ''")
-    many = lambda p: f"{q.size(q.filter('ls', 'x', q.like('x', p)))}"
-    head = f"slice(ls, 1, {T.SCAN_LINES})" if q.name == "spark" else f"ls[1:{T.SCAN_LINES}]"
-    return f"""SELECT doc_id, CASE WHEN {q.size('ls')} = 0 THEN 'narrative' WHEN {q.size(q.filter(head, 'x', q.like('x', T.MESSAGE_LINE)))} > 0 THEN 'message'
-     WHEN contains(text, '::=') OR {many('[' + T.BOX + ']')} >= 2 OR {many(T.SYNTAX)} >= 2 OR {q.like('text', T.PARAMETER)} THEN 'syntax'
-     WHEN {many(T.COLUMNS)} >= {T.TABLE_SHARE} * {q.size('ls')} THEN 'table' ELSE 'narrative' END AS chunk_type FROM (SELECT doc_id, text, {rows} AS ls FROM documents) d"""
+    return table(spark, d, "documents").select("doc_id", T.chunk_type(F.col("text")).alias("chunk_type"))
 
 
-def page_types(q):
-    return chunk_types(q).replace("doc_id", "page_id").replace("text", "html").replace("FROM documents", "FROM pages")
+def page_types(spark, d):
+    return table(spark, d, "pages").select("page_id", T.chunk_type(F.col("html")).alias("chunk_type"))
 
 
 def sanitized(q):
@@ -190,8 +188,6 @@ QUERIES, ORACLES = registered(
         "fn05_members_folded": members_folded,
         "st03_edition_family": edition_family,
         "fn66_form_family": form_family,
-        "fn24_chunk_type": chunk_types,
-        "fn25_page_types": page_types,
         "fn18_sanitize": sanitized,
         "fn16_citation": citations,
         "fn39_source_rev": source_revisions,
@@ -209,5 +205,7 @@ QUERIES, ORACLES = registered(
         "fn68_judge_label": judge_labels,
     }
 )
+QUERIES |= {"fn24_chunk_type": chunk_types, "fn25_page_types": page_types}
+ORACLES |= {"fn24_chunk_type": T.CHUNK_TYPE_SQL, "fn25_page_types": f"SELECT doc_id AS page_id, chunk_type FROM ({T.CHUNK_TYPE_SQL.replace('FROM documents', 'FROM (SELECT page_id AS doc_id, html AS text FROM pages)')})"}
 # DuckDB's levenshtein counts bytes, so no SQL is given; tests hold the query against brute force.
 ORACLES.pop("fn65_edit_distance_cer")
