@@ -135,20 +135,25 @@ def is_code_section(text: str) -> bool:
     return any(CODE.fullmatch(a) and LABEL.match(b) for a, b in pairwise([x.strip() for x in text.splitlines() if x.strip()]))
 
 
-def statements(text: str) -> list[tuple[str, bool]]:
+def is_table(text: str) -> bool:
+    lines = [x for x in text.splitlines() if x.strip()]
+    return region(text) is None and len(lines) > 0 and sum(bool(re.search(COLUMNS, x)) for x in lines) >= TABLE_SHARE * len(lines)
+
+
+def prose_or_table(text: str) -> list[tuple[str, bool]]:
+    """(text, whole): rows of a table, or cards and the prose between them."""
+    return [(x, True) for x in text.splitlines() if x.strip()] if is_table(text) else mixed_items(text)
+
+
+def statements(text: str, with_codes: bool = True) -> list[tuple[str, bool]]:
     """(text, whole): a paragraph's units that no cut may fall into, or the paragraph itself as prose."""
     kind = region(text)
     if kind in ("jcl", "rexx"):
         units = (jcl_statements if kind == "jcl" else rexx_statements)(text)
-        return [(s, True) for s in units] or [(text, False)]
-    lines = [x for x in text.splitlines() if x.strip()]
-    if kind == "console":
-        return [(x, True) for x in lines] or [(text, False)]
-    if entries := code_entries(text):
-        return entries
-    if lines and sum(bool(re.search(COLUMNS, x)) for x in lines) >= TABLE_SHARE * len(lines):
-        return [(x, True) for x in lines]
-    return mixed_items(text)
+    else:
+        units = [x for x in text.splitlines() if x.strip()] if kind else []
+    entries = code_entries(text) if with_codes and not units else None
+    return [(s, True) for s in units] or entries or prose_or_table(text)
 
 
 UNITS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("whole", T.BooleanType())]))
