@@ -14,7 +14,9 @@ With 32 bands of 4 registers, a pair at the threshold of 0.75 shares no bucket w
 
 Defined results: a document without words, or without text, has no shingles and is linked with nothing; with fewer words
 than a shingle, the whole sequence is its one shingle; equal sets are linked; a null id is linked with nothing and kept;
-rows that repeat an id count as one node; an empty table gives an empty result; other columns are not read.
+different texts of one id are different documents, and component_id is the least id that any of them reaches, each by itself
+(such ids have to be whole numbers or strings); rows that repeat id and text fare alike; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, written
 from .components import components
@@ -176,12 +179,31 @@ def _open(rows: DataFrame, texts: DataFrame, words: int, percent: int, tag: str)
     return open_
 
 
+def _told_apart(df: DataFrame, id_column: str, text_column: str, words: int, percent: int) -> DataFrame:
+    """near_duplicates() where an id has several texts: its documents are named by the id, in the ids' order, and a digest of the text."""
+    kind, own = df.schema[id_column].dataType, F.col(f"`{id_column}`")
+    if isinstance(kind, T.StringType):
+        place, back = own, lambda c: F.substring(c, F.lit(1), F.length(c) - 65)
+    elif isinstance(kind, T.IntegralType):
+        sign = F.lit(-(1 << 63))
+        place = F.lpad(F.hex(own.cast("long").bitwiseXOR(sign)), 16, "0")
+        back = lambda c: F.conv(F.substring(c, 1, 16), 16, -10).cast("long").bitwiseXOR(sign).cast(kind)
+    else:
+        raise ValueError("ids that have several texts must be whole numbers or strings")
+    named = df.select(F.concat(place, F.lit("\0"), F.sha2(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), 256)).alias("node"), F.col(f"`{text_column}`").alias("text"))
+    found = near_duplicates(named, "node", "text", words, percent)
+    out = found.select(back(F.col("id")).alias("id"), "n_shingles", back(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id (least id of the component), kept, for every row."""
     every = written(sketches(df, id_column, text_column, words), "sketches")
     held = every.where("id IS NOT NULL AND digest IS NOT NULL")
     first = held.groupBy("digest").agg(F.min("id").alias("rep"))
     member = written(held.select("id", "digest").distinct().join(first, "digest").select("id", "rep"), "members")
+    if member.groupBy("id").count().where("count > 1").head(1):
+        return _told_apart(df, id_column, text_column, words, percent)
     band = F.expr(f"transform(sequence(0, {REGISTERS // BAND - 1}), i -> xxhash64(i, substring(sketch, i * {2 * BAND} + 1, {2 * BAND})))")
     own = held.join(member.where("id = rep").select("id").distinct(), "id").dropDuplicates(["id"])
     nodes = written(own.select("id", "n_shingles", "sketch", band.alias("keys")), "nodes")

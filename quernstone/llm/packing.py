@@ -205,7 +205,9 @@ def ranked(cut: DataFrame) -> DataFrame:
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    # pieces that repeat an id and number are told apart by what they hold, so that a task run again ranks them alike
+    ties = [c for c in ("start", "ids_crc32") if c in cut.columns]
+    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", *ties))
     numbered = salted.withColumn("inside", inside)
     return numbered.join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("inside") - 1).drop("salt", "before", "inside")
 

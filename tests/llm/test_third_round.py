@@ -224,3 +224,19 @@ def test_importance_of_longer_runs_and_many_ties(spark):
     target = ["w1 w2 w3 w4", "same text"]
     made = importance.resample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "text string"), longest=3)
     assert sorted((tuple(r) for r in made.collect()), key=str) == resampled(docs, target, 3)
+
+
+# --- near duplicates of ids with several texts -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_no_link_of_an_id_with_two_texts_is_lost(spark, kind):
+    from quernstone.llm.near_dedup import near_duplicates
+
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (-4, "quite another text of six words"), (1, a), (None, a)]
+    docs = spark.createDataFrame(rows, "k long, t string").select(F.col("k").cast(kind).alias("k"), "t")
+    as_kind = (lambda x: x) if kind == "long" else (lambda x: None if x is None else str(x))
+    found = sorted(((r.id, r.component_id, r.kept) for r in near_duplicates(docs, "k", "t").collect()), key=str)
+    want = [(1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (-4, -4, True), (None, None, True)]
+    assert found == sorted(((as_kind(i), as_kind(c), x) for i, c, x in want), key=str)
