@@ -30,23 +30,3 @@ def wilson(successes: Column, n: Column, z: float, lower: bool) -> Column:
     p = successes / n
     centre, margin = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     return (centre - margin if lower else centre + margin) / (1 + z * z / n)
-
-
-def bootstrap_interval(df: DataFrame, by: str, value: str, resamples: int = 1000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the mean from seeded resamples of each group's values. A metric's values per query are few
-    (a golden set), so a group is one task's work."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import random
-
-        values = sorted(pdf[value].dropna().tolist())
-        if not values:
-            return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [0], "mean": [None], "lo": [None], "hi": [None]})
-        rng = random.Random(seed)
-        means = sorted(sum(rng.choices(values, k=len(values))) / len(values) for _ in range(resamples))
-        at = lambda q: means[int(q * (resamples - 1))] + (q * (resamples - 1) % 1) * (means[min(resamples - 1, int(q * (resamples - 1)) + 1)] - means[int(q * (resamples - 1))])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(values)], "mean": [sum(values) / len(values)], "lo": [at(alpha / 2)], "hi": [at(1 - alpha / 2)]})
-
-    kind = df.schema[by].dataType.simpleString()
-    return df.select(by, F.col(value).cast("double").alias(value)).groupBy(by).applyInPandas(run, f"`{by}` {kind}, n long, mean double, lo double, hi double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import index, ranking, scoring, vectors
+from ..operators import index, ranking, resampling, scoring, vectors
 from ..sources.tables import table
 
 LIMIT, FUSED, DEPTH = 8, 24, ranking.PREFETCH
@@ -257,7 +257,7 @@ def paired_delta(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return scoring.bootstrap_interval(_label_eval(spark, d, 8), "label", "mrr")
+    return resampling.interval(_label_eval(spark, d, 8), "label", "query_id", "mrr", seed=7)
 
 
 def sweep_grid(spark, d):
