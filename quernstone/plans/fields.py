@@ -70,7 +70,7 @@ QUERIES = {
     "fn13_clean_field": cleaned,
     "fn56_token_price": prices,
     "fn38_roman_value": romans,
-    "wn14_label_advances": advances,
+    "fn38_label_advances": advances,
     "pf10_must_not": violations,
     "mx05_job_lines": jobs,
     "mx06_gold_positions": positions,
@@ -91,7 +91,7 @@ ORACLES = {
         UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""",
     "fn38_roman_value": f"""WITH {_NUMERALS}, made AS (SELECT DISTINCT substr('ivxlcdmi'[doc_id % 8 + 1] || 'ivxlcdmi'[doc_id // 8 % 8 + 1] || 'ivxlcdmi'[doc_id // 64 % 8 + 1] || 'ivxlcdmi'[doc_id // 512 % 8 + 1], 1, (doc_id % 4 + 1)::INT) AS token FROM documents)
         SELECT token, n AS value FROM made LEFT JOIN numerals USING (token)""",
-    "wn14_label_advances": f"""WITH {_NUMERALS}, l AS ({_LABELS})
+    "fn38_label_advances": f"""WITH {_NUMERALS}, l AS ({_LABELS})
         SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id * 7 % 90 > doc_id % 90 WHEN 2 THEN doc_id * 11 % 100 > doc_id % 100
         WHEN 1 THEN CASE WHEN before[1] = after[1] THEN false WHEN a.n IS NOT NULL AND b.n IS NOT NULL THEN b.n > a.n ELSE after[1] > before[1] END ELSE true END AS advances
         FROM l LEFT JOIN numerals a ON a.token = lower(before[1]) LEFT JOIN numerals b ON b.token = lower(after[1])""",

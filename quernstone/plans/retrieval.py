@@ -291,7 +291,7 @@ QUERIES = {
     "wn09_rerank_blend": rerank_blend,
     "pf04_filter_fallback": filter_fallback_retry,
     "tk01_dense_topk_cosine": dense_topk_cosine,
-    "pf01_dense_topk_filtered": dense_topk_filtered,
+    "ext_dense_topk_by_label": dense_topk_filtered,
     "st09_ann_overlap_at_k": ann_overlap_at_k,
     "vx05_dense_topk_indexed": dense_topk_indexed,
     "jn17_benchmark_gold": benchmark_gold,
@@ -404,7 +404,7 @@ ORACLES = {
     "tk01_dense_topk_cosine": """SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
         row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) - 1 AS rank
         FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0 QUALIFY rank < 10""",
-    "pf01_dense_topk_filtered": """SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
+    "ext_dense_topk_by_label": """SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
         row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) - 1 AS rank
         FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 QUALIFY rank < 5""",
     "jn17_benchmark_gold": f"WITH {_GOLD} SELECT * FROM gold",

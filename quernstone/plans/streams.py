@@ -58,10 +58,10 @@ def stream_first_answers(spark, d):
     return _drained(spark, once, "append").select("user_id", "event_type").distinct()
 
 
-QUERIES = {"sm01_stream_tumbling": stream_tumbling, "sm02_stream_first_answers": stream_first_answers, "ext_stream_sliding": stream_sliding, "ext_stream_sessions": stream_sessions}
+QUERIES = {"ext_stream_tumbling": stream_tumbling, "sm02_stream_first_answers": stream_first_answers, "ext_stream_sliding": stream_sliding, "ext_stream_sessions": stream_sessions}
 _GAP = "CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END"
 ORACLES = {
-    "sm01_stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "ext_stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "sm02_stream_first_answers": "SELECT DISTINCT user_id, event_type FROM events",
     "ext_stream_sliding": "SELECT strftime(ts::DATE - b, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events, (VALUES (0), (1)) x(b) GROUP BY ALL",
     "ext_stream_sessions": f"""SELECT n, count(*) AS sessions FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, {_GAP} AS f FROM events)) GROUP BY ALL) GROUP BY n""",
