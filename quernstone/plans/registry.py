@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "hybrid_search_benchmark"
-MODULES: tuple[str, ...] = tuple(f"quernstone.plans.{m}" for m in ("retrieval", "texts", "ingest", "evaluation", "answers", "streams", "passages", "payloads", "fields", "gold", "expansions", "listings", "books", "legs", "verdicts", "wishes", "certificates"))
+MODULES: tuple[str, ...] = tuple(f"quernstone.plans.{m}" for m in ("retrieval", "texts", "ingest", "evaluation", "answers", "streams", "passages", "payloads", "fields", "gold", "expansions", "listings", "books", "legs", "verdicts", "wishes", "certificates", "replays"))
 
 
 def queries() -> dict:
