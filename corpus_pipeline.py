@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Other columns
 are carried as they are, whatever their names. A null text has no language and goes in the first stage; the others leave it
 as it is. A null id is compared with nothing. Texts are whole, however long. A document is an id with its text: different
-texts of one id are different documents. An empty table stays one.
+texts of one id are different documents. An empty table stays one. Each stage sets what its Python workers need by itself
+(reachable), as it may be called with any table of documents.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import language_id, near_dedup, packing, pii, substring_dedup
 from quernstone.llm.common import documents, unused, written
+from quernstone.session import reachable
 
 CAPACITY = 2048
 #: Languages that stay; None for all that could be learned.
@@ -30,6 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps documents in one of LANGUAGES, or in any language where that is None; the language found is put down in lang
     where a document has none. Documents without text, or without a letter, have no language and go. Where nothing could
     be learned, only those go. Rows are judged each by itself, so those that repeat an id or a text fare alike."""
+    reachable(spark)
     names = unused(docs.columns, "lang_pred", "score")
     prototypes = language_id.learn(docs, "lang", "doc_id", "text")
     if not prototypes:
@@ -52,6 +55,7 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, str]:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one with the least id (of one id's texts, the least by a
     digest). Of rows that repeat both id and text one stays, whichever it is. Null ids, and texts without words, all stay."""
+    reachable(spark)
     nodes, node = _nodes(docs)
     gone = near_dedup.near_duplicates(nodes, node).where(~F.col("kept")).select(F.col("id").alias(node)).distinct()
     kept = nodes.join(gone, node, "left_anti")
@@ -63,6 +67,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; documents without any keep theirs as it is."""
+    reachable(spark)
     names = unused(docs.columns, "n_words", "n_removed", "kept", "kept_sha256")
     cut = substring_dedup.cut(docs, names=tuple(names))
     return _with_text(docs, cut.withColumn("text", F.coalesce(names[2], "text")))
@@ -70,6 +75,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind."""
+    reachable(spark)
     return _with_text(docs, pii.redact(docs))
 
 
@@ -77,6 +83,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into sequences of at most 2048 tokens."""
     import public_tokenizers
 
+    reachable(spark)
     cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
     return packing.pack(written(cut, "pieces"), CAPACITY)
 
