@@ -1,12 +1,14 @@
-"""Questions split into legs, and searches of all legs in one pass over the postings."""
+"""Questions split into legs, searches of all legs in one pass over the postings, and searches asked again within a relaxed filter."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import legs
+from ..functions import payloads as P
 from ..operators import index, ranking
 from ..sources.tables import table
+from . import payloads
 from .retrieval import _SPARSE
 
 DEPTH, LIMIT = 24, 8
@@ -59,7 +61,19 @@ def split_search(spark, d):
     return ranking.top(merged, ["item_id"], [F.desc("score"), F.asc("first_seen")], LIMIT).select("item_id", "doc_id", "rank", F.round("score", 9).alias("score"))
 
 
-QUERIES = {"fn10_query_split": query_split, "tk04_split_search": split_search}
+def filter_fallback_retry(spark, d):
+    """The best three chunks of each request within its filter; a request to which that leaves nothing, and that names messages or
+    system codes, is asked again within the relaxed one. Filters hold before the cut, on the pairs that the sparse leg scores."""
+    requests, chunks = payloads._requests(spark, d), payloads._chunks(spark, d)
+    scored = index.bm25(requests, "item_id", chunks, "doc_id").withColumnRenamed("score", "bm25")
+    fields = lambda df: df.drop("text")
+    pairs = scored.join(fields(requests).alias("r"), "item_id").join(fields(chunks).alias("c"), "doc_id")
+    best = lambda rule: ranking.top(pairs.where(rule("r", "c")).select("item_id", "doc_id", F.col("bm25").alias("score")), ["item_id"], [F.desc("score"), F.asc("doc_id")], 3)
+    can_relax = requests.where((F.coalesce(F.size("message_ids"), F.lit(0)) > 0) | (F.coalesce(F.size("system_codes"), F.lit(0)) > 0))
+    return ranking.with_fallback(best(P.strict), best(P.relaxed), can_relax, "item_id").select("item_id", "doc_id", "rank", "fallback")
+
+
+QUERIES = {"pf04_filter_fallback": filter_fallback_retry, "fn10_query_split": query_split, "tk04_split_search": split_search}
 
 
 def _text(v: str) -> str:
@@ -68,6 +82,11 @@ def _text(v: str) -> str:
 
 _VALUES = ", ".join(f"({k}, {_text(q)}, {str(tail).lower()}, '{mode}', [{', '.join(map(_text, paths))}])" for k, (q, tail, mode, paths) in enumerate(QUESTIONS))
 ORACLES = {
+    "pf04_filter_fallback": payloads._duck(f""", {_SPARSE}, pairs AS (SELECT bm.item_id, bm.doc_id, bm.score, {payloads._SCOPE} AND (len(r.doc_ids) = 0 OR list_contains(r.doc_ids, c.doc_no)) AND {" AND ".join(f"(NOT {payloads._ASKS[f]} OR {payloads._ANY[f]})" for f in P.CODES)} AS fits,
+        {payloads._SCOPE} AND {" AND ".join(f"(NOT {payloads._ASKS[f]} OR coalesce(len(c.{f}), 0) = 0 OR {payloads._ANY[f]})" for f in ("message_ids", "system_codes"))} AS nearly, {payloads._ASKS["message_ids"]} OR {payloads._ASKS["system_codes"]} AS relaxable FROM bm JOIN requests r USING (item_id) JOIN chunks c ON c.doc_id = bm.doc_id),
+        strict AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank, false AS fallback FROM pairs WHERE fits QUALIFY rank < 3),
+        relaxed AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank, true AS fallback FROM pairs WHERE nearly AND relaxable QUALIFY rank < 3)
+        SELECT * FROM strict UNION ALL SELECT * FROM relaxed WHERE item_id NOT IN (SELECT item_id FROM strict)"""),
     "fn10_query_split": f"""WITH q(k, q, tail, mode, paths) AS (VALUES {_VALUES})
         SELECT conv_id, turn, mode, array_to_string(list_transform(paths, lambda p: CASE WHEN p = '@' THEN q || CASE WHEN tail THEN ' ' || text ELSE '' END WHEN tail THEN p || ' ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE p END), chr(10)) AS paths
         FROM conversations JOIN q ON k = (conv_id * 3 + turn) % {len(QUESTIONS)} WHERE role = 'user'""",

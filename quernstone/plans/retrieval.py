@@ -159,16 +159,6 @@ def rerank_blend(spark, d):
     return ranking.blended(pool, "item_id", "ce", "score", "doc_id", 0.7, LIMIT).select("item_id", "doc_id", "rank", F.round("blend", 6).alias("blend"))
 
 
-def filter_fallback_retry(spark, d):
-    """Best documents of the passage's source in Spanish; where it has none, of the source in any language."""
-    docs = _chunks(spark, d)
-    score = index.bm25(table(spark, d, "benchmark"), "item_id", docs, "doc_id").join(docs.select("doc_id", "source", "lang"), "doc_id")
-    scope = score.where(F.col("source") == F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
-    strict = ranking.top(scope.where("lang = 'es' AND score > 20"), ["item_id"], [F.desc("score"), F.asc("doc_id")], 3)
-    relaxed = ranking.top(scope, ["item_id"], [F.desc("score"), F.asc("doc_id")], 3)
-    return ranking.with_fallback(strict, relaxed, table(spark, d, "benchmark"), "item_id").select("item_id", "doc_id", "rank", "fallback")
-
-
 def _asked(vectors: DataFrame) -> DataFrame:
     """The stated query set of a search in its own table: every row whose id is divisible by 100."""
     return vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
@@ -289,7 +279,6 @@ QUERIES = {
     "wn07_diversify_caps": diversify_caps,
     "fn43_rerank_lexical": rerank_lexical_scores,
     "wn09_rerank_blend": rerank_blend,
-    "pf04_filter_fallback": filter_fallback_retry,
     "tk01_dense_topk_cosine": dense_topk_cosine,
     "ext_dense_topk_by_label": dense_topk_filtered,
     "st09_ann_overlap_at_k": ann_overlap_at_k,
@@ -397,10 +386,6 @@ ORACLES = {
         ends AS (SELECT *, min(ce) OVER p AS c0, max(ce) OVER p AS c1, min(score) OVER p AS s0, max(score) OVER p AS s1 FROM ces WINDOW p AS (PARTITION BY item_id)),
         mixed AS (SELECT item_id, doc_id, ce, score, round(0.7::DOUBLE * CASE WHEN c1 = c0 THEN 0.5 ELSE (ce - c0) / (c1 - c0) END + 0.3::DOUBLE * CASE WHEN s1 = s0 THEN 0.5 ELSE (score - s0) / (s1 - s0) END, 9) AS blend FROM ends)
         SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY blend DESC, ce DESC, score DESC, doc_id DESC) AS rank, round(blend, 6) AS blend FROM mixed QUALIFY rank <= 8""",
-    "pf04_filter_fallback": f"""WITH {_SPARSE}, scope AS (SELECT bm.*, lang FROM bm JOIN documents USING (doc_id) WHERE source = 'src' || (item_id % 20)),
-        strict AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank, false AS fallback FROM scope WHERE lang = 'es' AND score > 20 QUALIFY rank < 3),
-        relaxed AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank, true AS fallback FROM scope QUALIFY rank < 3)
-        SELECT * FROM strict UNION ALL SELECT * FROM relaxed WHERE item_id NOT IN (SELECT item_id FROM strict)""",
     "tk01_dense_topk_cosine": """SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
         row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) - 1 AS rank
         FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0 QUALIFY rank < 10""",
