@@ -42,8 +42,11 @@ def report_dimensions(q):
 
 
 def identity_buckets(q):
-    """The eight most frequent users by count and name; the rest is other."""
-    return "SELECT CASE WHEN r <= 8 THEN 'u' || CAST(user_id AS STRING) ELSE 'other' END AS label, sum(n) AS n FROM (SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) AS r FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) c) d GROUP BY CASE WHEN r <= 8 THEN 'u' || CAST(user_id AS STRING) ELSE 'other' END"
+    """The eight most frequent users by count and name; the rest is other. Eight rows are cut and joined back, so no task numbers all users."""
+    counted = "SELECT user_id, count(*) AS n FROM events GROUP BY user_id"
+    label = "CASE WHEN t.n IS NOT NULL THEN 'u' || CAST(c.user_id AS STRING) ELSE 'other' END"
+    same = "c.user_id <=> t.user_id" if q.name == "spark" else "c.user_id IS NOT DISTINCT FROM t.user_id"
+    return f"SELECT {label} AS label, sum(c.n) AS n FROM ({counted}) c LEFT JOIN (SELECT user_id, n FROM ({counted}) d ORDER BY n DESC, user_id LIMIT 8) t ON {same} GROUP BY {label}"
 
 
 def top_codes(q):

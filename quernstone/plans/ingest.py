@@ -190,7 +190,7 @@ def section_gold(q):
 
 def corpus_facts(q):
     """Per source: pages, languages and the types of its events."""
-    return f"SELECT source, count(*) AS n_pages, {q.join(q.sorted_distinct('collect_list(lang)' if q.name == 'spark' else 'list(lang)'), ',')} AS langs FROM documents GROUP BY source"
+    return f"SELECT source, count(*) AS n_pages, {q.join(q.sorted_distinct('collect_set(lang)' if q.name == 'spark' else 'list(lang)'), ',')} AS langs FROM documents GROUP BY source"
 
 
 def label_inference(q):
