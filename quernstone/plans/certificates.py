@@ -54,13 +54,31 @@ def snapshot(spark, d):
     return completion.snapshot(records(spark, d)[2]).select("doc_id", "source_rev", "n", F.size("shas").alias("shas"), "ids_digest", "content_digest")
 
 
-QUERIES = {"sc11_snapshot": snapshot, "gt17_verify_docs": verify, "gt19_publish_blockers": block}
+#: How a document's wanted manifest departs from the stored one: every field by a number of its own.
+_DRIFT = {name: 11 + 2 * k for k, name in enumerate((*completion.REEMBED, *completion.RECORD_ONLY))}
+
+
+def manifests(spark, d):
+    """Each document's stored manifest against the one wanted, field by field; some fields are missing on one side or on both."""
+    docs = table(spark, d, "documents").select("doc_id")
+    value = lambda name, n, wanted: F.when(F.col("doc_id") % (n + 1) == 1, None).otherwise(F.concat(F.lit(name), F.when(F.lit(wanted) & (F.col("doc_id") % n == 0), "!").otherwise("")))
+    made = lambda wanted: F.create_map(*[x for name, n in _DRIFT.items() if not (wanted and name == "sparse_model") for x in (F.lit(name), value(name, n, wanted))])
+    stored = F.map_filter(made(False), lambda k, v: k != "sparse_model")
+    return docs.select("doc_id", completion.compared(stored, made(True)).alias("c")).select("doc_id", "c.outcome", F.array_join("c.fields", ",").alias("fields"))
+
+
+QUERIES = {"gt13_manifest_compare": manifests, "sc11_snapshot": snapshot, "gt17_verify_docs": verify, "gt19_publish_blockers": block}
 
 _DOCS = "docs AS (SELECT doc_id, 'r' || CAST(doc_id % 3 AS VARCHAR) AS source_rev, text, md5(text) AS sha256, doc_id % 17 AS fate FROM documents WHERE text <> '')"
 _TOLD = f"""WITH {_DOCS}, lines AS (SELECT doc_id, fate, len(string_split(text, chr(10))) AS n FROM docs),
 told AS (SELECT d.doc_id, d.source_rev, CASE WHEN fate IN (1, 4) THEN 'unmarked' WHEN fate = 2 THEN 'manifest' WHEN fate = 3 THEN 'marker' WHEN fate = 5 OR (fate = 6 AND n = 1) THEN 'no points' WHEN fate = 6 THEN 'count' WHEN fate = 9 THEN 'source' WHEN fate = 8 THEN 'ids' WHEN fate = 7 THEN 'content' END AS problem
   FROM docs d JOIN lines USING (doc_id, fate))"""
+_STEPS = {name: n for name, n in _DRIFT.items() if name != "sparse_model"}
+_CHANGED = ", ".join(f"CASE WHEN doc_id % {n + 1} <> 1 AND doc_id % {n} = 0 THEN '{name}' END" for name, n in _STEPS.items() if name in completion.REEMBED)
+_NOTED = _STEPS["dense_query_prefix"]
 ORACLES = {
+    "gt13_manifest_compare": f"""SELECT doc_id, CASE WHEN fields <> '' THEN 'reembed_required' WHEN noted THEN 'record_only_drift' ELSE 'compatible' END AS outcome, CASE WHEN fields <> '' THEN fields WHEN noted THEN 'dense_query_prefix' ELSE '' END AS fields
+        FROM (SELECT doc_id, array_to_string([x FOR x IN [{_CHANGED}] IF x IS NOT NULL], ',') AS fields, doc_id % {_NOTED + 1} <> 1 AND doc_id % {_NOTED} = 0 AS noted FROM documents)""",
     "gt17_verify_docs": f"{_TOLD} SELECT * FROM told",
     "gt19_publish_blockers": f"""{_TOLD}, every AS (SELECT * FROM told WHERE problem IS NOT NULL UNION ALL SELECT doc_id, 'gone', 'residue' FROM docs WHERE fate = 10 UNION ALL SELECT doc_id, source_rev, 'stale marker' FROM docs WHERE fate = 2)
         SELECT problem, count(*) AS n, min(doc_id) AS first_doc FROM every WHERE NOT (doc_id % 40 = 0 AND source_rev <> 'gone') GROUP BY problem""",

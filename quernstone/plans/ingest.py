@@ -127,12 +127,6 @@ def search_coverage(q):
     return """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unverified' WHEN l.toxic = 1 THEN 'withheld' END AS problem FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR l.toxic = 1"""
 
 
-def manifest_compare(q):
-    """Each customer's contract against its nation's: compatible, record-only or re-embed."""
-    return """SELECT c_custkey, CASE WHEN c_nationkey % 5 <> r_regionkey THEN 're-embed' WHEN c_acctbal < 0 THEN 'record-only' ELSE 'compatible' END AS verdict, c_mktsegment
-     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
-
-
 def sections(q):
     """Sections of a book: a page that opens one runs up to the next that does."""
     page = q.idiv("doc_id", "20")
@@ -230,7 +224,6 @@ QUERIES, ORACLES = registered(
         "st10_stale_markers": stale_markers,
         "gt16_completeness": completeness,
         "gt18_search_coverage": search_coverage,
-        "gt13_manifest_compare": manifest_compare,
         "wn22_sections": sections,
         "wn24_fallback_windows": fallback_windows,
         "wn25_label_ranges": label_ranges,

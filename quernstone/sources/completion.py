@@ -10,11 +10,12 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Fixed value: fields of a manifest that may change without anything being made anew.
-RECORD_ONLY = {"dense_query_prefix"}
+# Fields of a manifest whose change needs vectors made anew, and those that are only put down.
+REEMBED = ("schema_version", "extraction_rules", "identity_schema", "embed_mode", "embed_model", "embed_model_revision", "dense_dim", "contextual_enabled", "context_llm_model", "context_prompt_version", "context_max_chars", "sparse_model", "sparse_weights_revision")
+RECORD_ONLY = ("dense_query_prefix",)
 CONTROL = "turn long, state string, digest string, generation string, manifest string"
 
 
@@ -25,7 +26,15 @@ def digest_of(manifest: dict) -> str:
 def outcome(stored: dict, wanted: dict) -> str:
     """compatible, record_only_drift or reembed_required, by the fields that differ."""
     changed = {k for k in stored.keys() | wanted.keys() if stored.get(k) != wanted.get(k)}
-    return "compatible" if not changed else "record_only_drift" if changed <= RECORD_ONLY else "reembed_required"
+    return "compatible" if not changed else "record_only_drift" if changed <= set(RECORD_ONLY) else "reembed_required"
+
+
+def compared(stored: Column, wanted: Column) -> Column:
+    """(outcome, fields) of two manifests, as maps: fields that need vectors made anew come first and alone; a field that one lacks differs."""
+    differing = lambda names: F.filter(F.array(*map(F.lit, names)), lambda k: ~F.try_element_at(stored, k).eqNullSafe(F.try_element_at(wanted, k)))
+    anew, noted = differing(REEMBED), differing(RECORD_ONLY)
+    told = lambda name, fields: F.struct(F.lit(name).alias("outcome"), fields.alias("fields"))
+    return F.when(F.size(anew) > 0, told("reembed_required", anew)).when(F.size(noted) > 0, told("record_only_drift", noted)).otherwise(told("compatible", anew))
 
 
 def snapshot(points: DataFrame) -> DataFrame:
