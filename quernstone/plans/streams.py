@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from ..sources.tables import table
 from ..streaming import feedback
 
@@ -24,14 +23,26 @@ def _folder(spark, d) -> bool:
 
 
 def _drained(spark, stream, mode: str):
-    """All of a stream's output, through a memory sink. For results of bounded size."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All of a stream's output, through files in the shared folder; where each batch gives the whole result the last one holds.
+
+    Tasks write it, so that nothing of it passes through the driver. State is kept by RocksDB, in memory of bounded size."""
+    at, key = shared.folder(spark), "spark.sql.streaming.stateStore.providerClass"
+
+    def write(batch, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows" if mode == "complete" else f"{at}/rows/epoch={epoch}")
+
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    query = None
     try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     finally:
-        query.stop()
-    return spark.table(name)
+        if query is not None:
+            query.stop()
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    kinds = stream.schema if mode == "complete" else stream.schema.add("epoch", "long")
+    return spark.read.schema(kinds).parquet(f"{at}/rows").select(*stream.columns)
 
 
 def stream_tumbling(spark, d):
