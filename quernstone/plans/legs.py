@@ -55,7 +55,7 @@ def split_search(spark, d):
     """Legs of all questions in one search: each leg's best, then the best share of a document over its question's legs."""
     split = _questions(spark, d).select("item_id", F.posexplode(legs.split(F.col("text"), F.array().cast("array<string>"))["paths"]).alias("list", "text"))
     asked = split.withColumn("leg", F.col("item_id") * 2 + F.col("list"))
-    found = ranking.top(index.bm25(asked, "leg", table(spark, d, "documents"), "doc_id"), ["leg"], [F.desc("score"), F.asc("doc_id")], DEPTH)
+    found = index.bm25_top(asked, "leg", table(spark, d, "documents"), "doc_id", DEPTH)
     lists = found.join(asked.select("leg", "item_id", "list"), "leg")
     merged = ranking.merge_max(lists, "item_id", "doc_id")
     return ranking.top(merged, ["item_id"], [F.desc("score"), F.asc("first_seen")], LIMIT).select("item_id", "doc_id", "rank", F.round("score", 9).alias("score"))
