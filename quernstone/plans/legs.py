@@ -63,14 +63,15 @@ def split_search(spark, d):
 
 def filter_fallback_retry(spark, d):
     """The best three chunks of each request within its filter; a request to which that leaves nothing, and that names messages or
-    system codes, is asked again within the relaxed one. Filters hold before the cut, on the pairs that the sparse leg scores."""
+    system codes, is asked again within the relaxed one. Filters hold before the cut: each chunk carries the requests that admit it."""
     requests, chunks = payloads._requests(spark, d), payloads._chunks(spark, d)
-    scored = index.bm25(requests, "item_id", chunks, "doc_id").withColumnRenamed("score", "bm25")
-    fields = lambda df: df.drop("text")
-    pairs = scored.join(fields(requests).alias("r"), "item_id").join(fields(chunks).alias("c"), "doc_id")
-    best = lambda rule: ranking.top(pairs.where(rule("r", "c")).select("item_id", "doc_id", F.col("bm25").alias("score")), ["item_id"], [F.desc("score"), F.asc("doc_id")], 3)
+    every = requests.select(F.struct(*[c for c in requests.columns if c != "text"]).alias("r")).agg(F.collect_list("r").alias("rs"))  # one row
+    admits = lambda rule: F.transform(F.filter("rs", lambda r: rule(r, "c")), lambda r: r["item_id"])
+    held = chunks.alias("c").join(F.broadcast(every)).select("c.doc_id", "c.text", admits(P.strict).alias("strict"), admits(P.relaxed).alias("relaxed"))
+    found = index.bm25_top(requests, "item_id", held, "doc_id", 3, within=("strict", "relaxed"))
+    best = lambda name: found.where(F.col("of") == name).drop("of")
     can_relax = requests.where((F.coalesce(F.size("message_ids"), F.lit(0)) > 0) | (F.coalesce(F.size("system_codes"), F.lit(0)) > 0))
-    return ranking.with_fallback(best(P.strict), best(P.relaxed), can_relax, "item_id").select("item_id", "doc_id", "rank", "fallback")
+    return ranking.with_fallback(best("strict"), best("relaxed"), can_relax, "item_id").select("item_id", "doc_id", "rank", "fallback")
 
 
 QUERIES = {"pf04_filter_fallback": filter_fallback_retry, "fn10_query_split": query_split, "tk04_split_search": split_search}
