@@ -4,8 +4,8 @@ Supported: 8-bit progressive frames (SOF2) of one or three components, sampling
 spectral selection and successive approximation in any legal order. Coefficients are arrays (blocks, 64) of int32 in
 zigzag order, blocks in raster order of the component's padded grid.
 
-Long stretches of one Huffman symbol, and runs of blocks with correction bits alone, are read at once from the unpacked
-bits; anything else takes the symbol-by-symbol path.
+Long stretches of one Huffman symbol, and runs of blocks with correction bits alone, are read and written at once; DC
+differences are looked up with their code; anything else takes the symbol-by-symbol path.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ _small_order = lru_cache(1024)(_order)
 
 
 def own_order(c: Component) -> np.ndarray:
-    return unit_order(Component(0, 1, 1, 0, c.wide), c.own_wide, c.own_high)[:, 0]
+    return (_small_order if c.own_wide * c.own_high <= 1024 else _order)(c.wide, 1, 1, c.own_wide, c.own_high)[:, 0]
 
 
 # Huffman tables
@@ -100,6 +100,19 @@ def lookup(spec: bytes) -> tuple[list[int], list[int], dict[int, tuple[int, int]
     return length.tolist(), symbol.tolist(), codes
 
 
+@lru_cache(8)
+def differences(spec: bytes) -> tuple[list[int], list[int]]:
+    """From 16 counts and symbols of a DC table: bits of code and difference together, and the difference, by 16-bit
+    prefix; no bits where both together are longer."""
+    length, symbol, _ = lookup(spec)
+    code, size = np.array(length), np.array(symbol)
+    total = np.where((code > 0) & (code + size <= 16), code + size, 0)
+    size = np.where(total > 0, size, 0)
+    extra = np.arange(1 << 16) >> (16 - total) & ((1 << size) - 1)
+    value = np.where((size > 0) & (extra >> np.maximum(size - 1, 0) == 0), extra - (1 << size) + 1, extra)
+    return total.tolist(), value.tolist()
+
+
 @lru_cache(64)
 def table_for(counts: tuple[tuple[int, int], ...]) -> bytes:
     """A Huffman table for symbol counts, at most 16 bits deep and without the code of all ones."""
@@ -134,7 +147,7 @@ class Bits:
     """One restart segment: peeks and skips for the symbol path, unpacked bits for the fast ones."""
 
     def __init__(self, data: bytes):
-        self.data, self.size, self.at = data + b"\0\0\0\0", 8 * len(data), 0
+        self.data, self.size, self.at = data + b"\0" * 8, 8 * len(data), 0
         self._bits: np.ndarray | None = None
 
     @property
@@ -173,12 +186,21 @@ class Bits:
 def _dc_first(seg: Bits, parts: list, units: slice, al: int) -> None:
     tables = [t for c, t, order in parts for _ in range(order.shape[1])]
     n = units.stop - units.start
-    values = np.empty((n, len(tables)), np.int64)
-    one, take, signed = seg.symbol, values, seg.signed
-    for i in range(n):
-        for k, t in enumerate(tables):
-            s = one(t)
-            take[i, k] = signed(s) if s else 0
+    data, at, end, found = seg.data, seg.at, seg.size, []
+    for t in tables * n:
+        total, value = t[3]
+        prefix = int.from_bytes(data[at >> 3 : (at >> 3) + 3], "big") >> (8 - (at & 7)) & 0xFFFF
+        size = total[prefix]
+        if size and at + size <= end:
+            at += size
+            found.append(value[prefix])
+            continue
+        seg.at = at
+        s = seg.symbol(t)
+        found.append(seg.signed(s) if s else 0)
+        at = seg.at
+    seg.at = at
+    values = np.array(found, np.int64).reshape(n, len(tables))
     k = 0
     for c, _, order in parts:
         w = order.shape[1]
@@ -195,31 +217,37 @@ def _dc_more(seg: Bits, parts: list, units: slice, al: int) -> None:
         k += w
 
 
+@lru_cache(32)
+def _weights(n: int) -> np.ndarray:
+    return 2.0 ** np.arange(n - 1, -1, -1)
+
+
 def _uniform(seg: Bits, table, symbol: int, most: int) -> np.ndarray:
     """Values of the longest stretch of (no zeros, size) symbols like this one, read at once. seg is at the code."""
     code, n = table[2][symbol]
-    size, found, tries = symbol & 15, [], 512
+    size, found, tries = symbol & 15, [], 4096
     stride = n + size
+    data = np.frombuffer(seg.data, np.uint8)
     while most > 0:
         m = min(tries, most, (seg.size - seg.at) // stride)
         if m <= 0:
             break
-        grid = seg.bits[seg.at : seg.at + m * stride].reshape(m, stride)
-        same = np.ones(m, bool)
-        for k in range(n):
-            same &= grid[:, k] == (code >> (n - 1 - k) & 1)
+        skip = seg.at & 7
+        bits = np.unpackbits(data[seg.at >> 3 : (seg.at + m * stride + 7) >> 3])[skip : skip + m * stride]
+        # a code and its bits are 31 at most, which doubles hold
+        raw = (bits.reshape(m, stride).astype(np.float64) @ _weights(stride)).astype(np.int64)
+        same = (raw >> size & ((1 << n) - 1)) == code
         good = m if same.all() else int(same.argmin())
         if good:
-            wide = np.zeros((good, 16), np.uint8)
-            wide[:, 16 - size :] = grid[:good, n:]
-            raw = np.packbits(wide, axis=1).view(">u2")[:, 0].astype(np.int32)
-            found.append(np.where(raw >> (size - 1), raw, raw - (1 << size) + 1))
+            raw = (raw[:good] & ((1 << size) - 1)).astype(np.int32)
+            raw -= (raw >> (size - 1) ^ 1) * ((1 << size) - 1)
+            found.append(raw)
         seg.at += good * stride
         most -= good
         if good < m:
             break
-        tries *= 8
-    return np.concatenate(found) if found else np.empty(0, np.int32)
+        tries = min(8 * tries, 1 << 17)
+    return np.concatenate(found) if len(found) > 1 else found[0] if found else np.empty(0, np.int32)
 
 
 def _ac_first(seg: Bits, c: Component, order: np.ndarray, ss: int, se: int, al: int, table) -> None:
@@ -299,13 +327,14 @@ def _ac_more(seg: Bits, c: Component, order: np.ndarray, ss: int, se: int, al: i
 
 SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.S)
 RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+OTHER_FRAMES = {0xC0, 0xC1, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)}
 
 
 def decode(data: bytes) -> Image:
     """All scans of a progressive JPEG, accumulated."""
     if data[:2] != b"\xff\xd8":
         raise JpegError("no JPEG")
-    at, quants, huffman, image, restart = 2, {}, {}, None, 0
+    at, quants, huffman, dc, image, restart = 2, {}, {}, {}, None, 0
     across = down = 0
     comment = b""
     while True:
@@ -330,7 +359,11 @@ def decode(data: bytes) -> Image:
         elif marker == 0xC4:
             while body:
                 n = 17 + sum(body[1:17])
-                huffman[body[0]], body = lookup(body[1:n]), body[n:]
+                if body[0] >> 4:
+                    huffman[body[0]] = lookup(body[1:n])
+                else:
+                    dc[body[0]] = (*lookup(body[1:n]), differences(body[1:n]))
+                body = body[n:]
         elif marker == 0xC2:
             if body[0] != 8 or body[5] not in (1, 3):
                 raise JpegError("8-bit frames of one or three components only")
@@ -339,7 +372,7 @@ def decode(data: bytes) -> Image:
             across, down = sized(image.width, image.height, parts)
             for c in parts:
                 c.coefs = np.zeros((c.wide * c.high, 64), np.int32)
-        elif marker in (0xC0, 0xC1, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
+        elif marker in OTHER_FRAMES:
             raise JpegError("not a progressive Huffman frame")
         elif marker == 0xDD:
             restart = int.from_bytes(body[:2], "big")
@@ -364,7 +397,7 @@ def decode(data: bytes) -> Image:
                 if piece.start >= units:
                     break
                 if ss == 0:
-                    parts = [(c, huffman.get(t >> 4), o) for c, t, o in zip(chosen, ids, one, strict=True)]
+                    parts = [(c, dc.get(t >> 4), o) for c, t, o in zip(chosen, ids, one, strict=True)]
                     (_dc_more if ah else _dc_first)(seg, parts, piece, al)
                 else:
                     (_ac_more if ah else _ac_first)(seg, chosen[0], one[0][piece, 0], ss, se, al, huffman[0x10 | ids[0] & 15])
@@ -392,28 +425,43 @@ def _basis() -> np.ndarray:
 
 def plane(c: Component, quant: np.ndarray) -> np.ndarray:
     """Samples of a component over its padded grid."""
-    sums = (c.coefs * quant).astype(np.float64) @ _basis()
-    samples = np.clip((np.floor(sums / (1 << COSINE_BITS) + 0.5)) + 128, 0, 255).astype(np.uint8)
+    sums = np.multiply(c.coefs, quant, dtype=np.float64) @ _basis()
+    sums *= 1 / (1 << COSINE_BITS)  # a power of two: still exact
+    sums += 128.5
+    np.floor(sums, sums)
+    np.maximum(sums, 0, sums)
+    np.minimum(sums, 255, sums)
+    samples = sums.astype(np.uint8)
     return samples.reshape(c.high, c.wide, 8, 8).swapaxes(1, 2).reshape(8 * c.high, 8 * c.wide)
 
 
 def rgb(image: Image) -> np.ndarray:
     """(height, width, 3) samples; planes of lower resolution are repeated up to the full one."""
     hmax, vmax = max(c.h for c in image.components), max(c.v for c in image.components)
-    planes = []
-    for c in image.components:
-        p = plane(c, image.quants[c.quant])
+    planes = [plane(c, image.quants[c.quant]) for c in image.components]
+
+    def full(p: np.ndarray, c: Component) -> np.ndarray:
         if vmax != c.v:
             p = np.repeat(p, vmax // c.v, 0)
         if hmax != c.h:
             p = np.repeat(p, hmax // c.h, 1)
-        planes.append(p[: image.height, : image.width])
+        return p[: image.height, : image.width]
+
     if len(planes) == 1:
-        return np.repeat(planes[0][:, :, None], 3, 2)
-    y, cb, cr = planes[0].astype(np.int32), planes[1].astype(np.int32) - 128, planes[2].astype(np.int32) - 128
+        return np.repeat(full(planes[0], image.components[0])[:, :, None], 3, 2)
+    y = full(planes[0], image.components[0]).astype(np.int32)
+    # what chroma adds is worked out before it is repeated, where both planes are alike
+    b, r = image.components[1:]
+    cb, cr = planes[1].astype(np.int32) - 128, planes[2].astype(np.int32) - 128
+    if (b.h, b.v) != (r.h, r.v):
+        cb, cr, b = full(cb, b), full(cr, r), None
     out = np.empty((*y.shape, 3), np.uint8)
     for k, part in enumerate((91881 * cr, -22554 * cb - 46802 * cr, 116130 * cb)):
-        out[:, :, k] = np.clip(y + ((part + 32768) >> 16), 0, 255)
+        part = (part + 32768) >> 16
+        shade = y + (part if b is None else full(part, b))
+        np.maximum(shade, 0, shade)
+        np.minimum(shade, 255, shade)
+        out[:, :, k] = shade
     return out
 
 
@@ -462,6 +510,24 @@ def _DC_WORDS() -> list[str]:
     return [word(x) for x in (*range(2048), *range(-2047, 0))]
 
 
+@lru_cache(4)
+def _words(size: int, n: int) -> np.ndarray:
+    """Bits of the only code (n zeros) and of each value of a size, at its own index (negative ones from the end)."""
+    most = (1 << size) - 1
+    raw = np.array([*range(most + 1), *range(most)], ">u2")  # x, and x + most for x from -most on
+    bits = np.zeros((len(raw), n + size), np.uint8)
+    bits[:, n:] = np.unpackbits(raw.view(np.uint8).reshape(-1, 2), axis=1)[:, 16 - size :]
+    return bits
+
+
+def _packed(bits: np.ndarray) -> bytes:
+    """Whole bytes of bits, filled up with ones."""
+    raw = np.packbits(bits)
+    if len(bits) % 8:
+        raw[-1] |= 255 >> len(bits) % 8
+    return raw.tobytes()
+
+
 def _stuffed(raw: bytes) -> bytes:
     return raw.replace(b"\xff", b"\xff\x00")
 
@@ -474,7 +540,9 @@ def _write_dc_first(parts: list[tuple[np.ndarray, np.ndarray]], al: int) -> tupl
     diffs = []
     for coefs, order in parts:
         values = coefs[order.ravel(), 0] >> al
-        diffs.append(np.diff(values, prepend=0).reshape(order.shape))
+        diff = values.copy()
+        diff[1:] -= values[:-1]
+        diffs.append(diff.reshape(order.shape))
     words = _DC_WORDS()
     text = "".join([words[x] for x in np.concatenate(diffs, axis=1).ravel().tolist()])
     text += "1" * (-len(text) % 8)
@@ -496,16 +564,14 @@ def _end_of_blocks(writer: _Writer, blocks: int, corrections: list[np.ndarray])
 
 def _write_ac_first(values: np.ndarray, al: int) -> tuple[bytes, bytes]:
     """values: (blocks, band). Bands without zeros and of one size go out at once."""
-    values = np.sign(values) * (np.abs(values) >> al)
-    size = int(abs(int(values.flat[0]))).bit_length() if values.size else 0
-    if size and values.size > 1 and ((np.abs(values) >> (size - 1)) == 1).all():
+    sizes = np.abs(values)
+    if al:
+        sizes >>= al
+        values = np.where(values < 0, -sizes, sizes)
+    size = int(sizes.flat[0]).bit_length() if values.size else 0
+    if size and values.size > 1 and int(sizes.min()) >> (size - 1) and not int(sizes.max()) >> size:
         spec = table_for(((size, 1),))
-        n = lookup(spec)[2][size][1]  # the only code: n zero bits
-        raw = np.where(values > 0, values, values + (1 << size) - 1).astype(">u2").reshape(-1, 1).view(np.uint8)
-        bits = np.zeros((len(raw), n + size), np.uint8)
-        bits[:, n:] = np.unpackbits(raw, axis=1)[:, 16 - size :]
-        flat = bits.ravel()
-        return spec, np.packbits(np.concatenate([flat, np.ones(-len(flat) % 8, np.uint8)])).tobytes()
+        return spec, _packed(_words(size, lookup(spec)[2][size][1]).take(values.ravel(), 0).ravel())
     writer, ends = _Writer(), 0
     for row in values.tolist():
         run = 0
@@ -528,7 +594,8 @@ def _write_ac_first(values: np.ndarray, al: int) -> tuple[bytes, bytes]:
 
 
 def _write_ac_more(values: np.ndarray, al: int) -> tuple[bytes, bytes]:
-    size, bit = np.abs(values) >> al, (np.abs(values) >> al) & 1
+    size = np.abs(values) >> al
+    bit = size & 1
     if (size > 1).all():  # nothing is new: correction bits alone, in runs of blocks
         n, out, spec, left = len(values), [], None, 0
         runs = [0x7FFF] * (n // 0x7FFF) + [n % 0x7FFF] * (n % 0x7FFF > 0)
@@ -539,8 +606,7 @@ def _write_ac_more(values: np.ndarray, al: int) -> tuple[bytes, bytes]:
             head = format(code, f"0{length}b") + (format(r - (1 << k), f"0{k}b") if k else "")
             out += [np.frombuffer(head.encode(), np.uint8) - 48, bit[left : left + r].astype(np.uint8).ravel()]
             left += r
-        flat = np.concatenate(out) if out else np.empty(0, np.uint8)
-        return spec, np.packbits(np.concatenate([flat, np.ones(-len(flat) % 8, np.uint8)])).tobytes()
+        return spec, _packed(np.concatenate(out) if out else np.empty(0, np.uint8))
     writer, ends, pending = _Writer(), 0, []
     for row, m, b in zip(values.tolist(), size.tolist(), bit.tolist(), strict=True):
         last = max((k for k, x in enumerate(m) if x == 1), default=-1)
@@ -585,7 +651,7 @@ def encode(width: int, height: int, components: list[Component], quants: dict[in
             orders = [own_order(parts[0])[:, None]] if len(parts) == 1 else [unit_order(c, across, down) for c in parts]
             if ah:
                 bits = np.concatenate([(c.coefs[o, 0] >> al & 1).astype(np.uint8) for c, o in zip(parts, orders, strict=True)], axis=1).ravel()
-                spec, raw = b"", np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)])).tobytes()
+                spec, raw = b"", _packed(bits)
             else:
                 spec, raw = _write_dc_first([(c.coefs, o) for c, o in zip(parts, orders, strict=True)], al)
             kind = 0

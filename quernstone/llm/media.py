@@ -17,6 +17,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -85,14 +86,20 @@ def load(media: bytes) -> tuple[bytes, jpeg.Image]:
     return data[: int(image.comment)], image
 
 
+@lru_cache(1024)
+def _limits(size: int) -> np.ndarray:
+    """Where the cells of the feature grid begin along one side."""
+    return np.linspace(0, size, GRID + 1).astype(int)[:-1]
+
+
 def feature(rgb: np.ndarray) -> str:
     """Means of the channels in hundredths, and a hash of which cells of a grid are lighter than the mean."""
-    sums = rgb.reshape(-1, 3).sum(0, dtype=np.int64)
     n = rgb.shape[0] * rgb.shape[1]
-    luma = rgb.sum(2, dtype=np.int64)
-    rows = np.linspace(0, rgb.shape[0], GRID + 1).astype(int)[:-1]
-    columns = np.linspace(0, rgb.shape[1], GRID + 1).astype(int)[:-1]
-    cells = np.add.reduceat(np.add.reduceat(luma, rows, 0), columns, 1)
+    # rows are added up first, as whole runs of numbers
+    bands = np.add.reduceat(rgb.reshape(rgb.shape[0], -1), _limits(rgb.shape[0]), 0, dtype=np.int64).reshape(GRID, -1, 3)
+    cells = np.add.reduceat(bands, _limits(rgb.shape[1]), 1)
+    sums = bands.sum((0, 1))
+    cells = cells.sum(2)
     bits = (cells > np.sort(cells, axis=None)[GRID * GRID // 2 - 1]).ravel()
     return "-".join(str(int(s) * 100 // n) for s in sums) + "-" + np.packbits(bits).tobytes().hex()
 
