@@ -28,20 +28,18 @@ from pyspark.sql import functions as F
 
 from .bpe import Merger
 from .common import documents, written
-from .word_cache import Remembered, WordCache
+from .word_cache import CHUNK_CHARS, WordCache, WordTable
 
 #: What the fast path below knows of a tokenizer, its normaliser's steps and its split pattern.
 STEPS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same rule for Arrow, whose class of white space is ASCII's without the vertical tab.
+ARROW_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\x0b\x{85}\x{a0}\p{L}\p{N}]+"
 #: Texts with characters beyond the Latin blocks go through the tokenizer as a whole, as do those with separators that
 #: only Python takes for white space. Within them NFC changes nothing, and no match of the pattern holds white space.
 BEYOND = "[^\x00-\x1b\x20-\u024f]"
 
 
-#: Between the ids of two parts: no id, and nothing that two ids side by side could hold, as ids are below 2**24.
-BETWEEN = b"\xff" * 4
-
-
 class WordTokenizer:
     """Ids of whole texts by a tokenizers file; words of plain Latin texts are encoded once and remembered."""
 
@@ -57,9 +55,7 @@ class WordTokenizer:
         steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
         rule = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if parts["pre_tokenizer"] else ""
         self.merger = self._merger(parts["model"]) if steps == STEPS and rule == SPLIT else None
-        self.find = regex.compile(SPLIT + "| ").findall
-        self.words = Remembered(self._merged)
-        self.cache = WordCache(self._split, self._plain)
+        self.cache = WordCache(self._split, self._merged, WordTable, 2 * CHUNK_CHARS)
 
     @staticmethod
     def _merger(model: dict) -> Merger | None:
@@ -93,22 +89,15 @@ class WordTokenizer:
 
     @staticmethod
     def _split(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-        """Parts between white space, with empty ones at a text's blank edges."""
-        parts = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
-        return parts.flatten(), np.diff(parts.offsets.to_numpy())
+        """Words by the rule, with empty ones at a text's blank edges."""
+        marked = pc.replace_substring_regex(pa.array([t.lower() for t in texts], pa.large_string()), ARROW_SPLIT, r"\0 ")
+        words = pc.utf8_split_whitespace(marked)
+        return words.flatten(), np.diff(words.offsets.to_numpy())
 
     def _merged(self, words: list[str]) -> list[bytes]:
-        """Ids of words; of a blank, what stands between two parts."""
-        made = iter(self.merger.merge([w.encode() for w in words if w != " "]))
-        return [BETWEEN if w == " " else next(made) for w in words]
-
-    def _plain(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts without white space, all in one go with a separator between them."""
-        words = self.find(" ".join(parts))
-        self.words.learn(set(words).difference(self.words.young))
-        out = b"".join(map(self.words.young.__getitem__, words)).split(BETWEEN)
-        self.words.settle()
-        return out
+        """Ids of words; an empty one has none."""
+        made = iter(self.merger.merge([w.encode() for w in words if w]))
+        return [next(made) if w else b"" for w in words]
 
 
 def byte_letters() -> list[str]:
