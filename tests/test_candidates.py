@@ -1,9 +1,10 @@
-"""Candidates of a search go to the texts; texts aren't dealt out for them."""
+"""Candidates of a search go to the texts; texts aren't dealt out for them, and no search is made twice."""
 
 import re
 
 import pytest
 
+from quernstone.operators import index, ranking
 from quernstone.plans import registry
 
 
@@ -17,3 +18,11 @@ def test_texts_stay_where_they_are(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not re.search(r"hashpartitioning\(doc_id", plan), plan
+
+
+def test_pins_search_each_leg_once(spark, monkeypatch):
+    made = []
+    for module, name in ((index, "bm25_top"), (ranking, "dense_top")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), name=name, **b: made.append(name) or f(*a, **b))
+    assert registry.queries()["wn10_pinned_hits"](spark, "/root/testdata/sf0.001").count()
+    assert sorted(made) == ["bm25_top", "dense_top"]
