@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..sources import shared
+from ..sources.tables import table
 from .dialect import registered
 
 
@@ -93,6 +98,39 @@ def switch_pairs(q):
      SELECT e.doc_id, t.doc_id AS partner FROM ends e JOIN firsts f ON e.source = f.source JOIN placed t ON t.source = e.source AND t.i = coalesce(e.nxt, CASE WHEN e.lang <> f.lang1 THEN 1 ELSE f.change END)"""
 
 
+def _neighbours(docs: DataFrame) -> DataFrame:
+    """Documents in blocks of neighbours, each with its place in its source's part of the block and the next document there that changes the language.
+
+    Blocks are ranges of (source, doc_id), as many as shuffle partitions and numbered in that order, so that a large source is many. Their bounds
+    come from a sample that another reading would draw anew; so the rows are stored."""
+    spark = docs.sparkSession
+    order = [F.asc_nulls_last("doc_id"), "lang"]
+    cut = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "source", order[0]).withColumn("block", F.spark_partition_id())
+    w, back = Window.partitionBy("source", "block").orderBy(*order), Window.partitionBy("source", "block").orderBy(F.desc("i"))
+    # a struct tells a document without an id from no document
+    change = F.when(F.col("lang") != F.lag("lang").over(w), F.struct("doc_id"))
+    placed = cut.select("*", F.row_number().over(w).alias("i"), F.lead(F.lit(1)).over(w).isNull().alias("ends"), change.alias("change"))
+    nxt = F.last("change", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    return shared.stored(placed.withColumn("nxt", nxt).drop("change"), shared.folder(spark))
+
+
+def switch_partners(spark, d):
+    """switch_pairs without gathering a source: within blocks first, then from block to block, where a source has a row for each."""
+    placed = _neighbours(table(spark, d, "documents").where("source IS NOT NULL").select("source", "doc_id", "lang"))
+    opens = lambda c: F.max(F.when(F.col("i") == 1, F.col(c)))
+    blocks = placed.where("i = 1 OR ends").withColumn("doc", F.struct("doc_id")).groupBy("source", "block").agg(opens("doc").alias("doc"), opens("lang").alias("lang"), opens("nxt").alias("inner"), F.max(F.when(F.col("ends"), F.col("lang"))).alias("end"))
+    chain, back = Window.partitionBy("source").orderBy("block"), Window.partitionBy("source").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = blocks.select("source", "block", F.when(F.col("lang") != F.lag("end").over(chain), F.col("doc")).otherwise(F.col("inner")).alias("head"))
+    later = heads.select("source", "block", F.last("head", ignorenulls=True).over(back).alias("later"))
+    # where no change follows: the source's first document, or the first whose language isn't that one's
+    openings = blocks.groupBy("source").agg(F.min_by("doc", "block").alias("doc1"), F.min_by("lang", "block").alias("lang1"))
+    least = placed.groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id"))
+    others = least.join(openings, "source").where("lang <> lang1").groupBy("source").agg(F.struct(F.min("doc_id").alias("doc_id")).alias("other"))
+    wraps = later.join(openings.join(others, "source", "left"), "source")
+    partner = F.coalesce("nxt", "later", F.when(F.col("lang") != F.col("lang1"), F.col("doc1")).otherwise(F.col("other")))
+    return placed.join(wraps, ["source", "block"]).select("doc_id", partner.alias("partner")).where("partner IS NOT NULL").select("doc_id", F.col("partner.doc_id").alias("partner"))
+
+
 def switch_states(q):
     """What became of each case between two repeats: kept, lost, gained, neither or unknown."""
     return """SELECT state, count(*) AS n FROM (SELECT CASE WHEN a.quality IS NULL OR b.quality IS NULL THEN 'unknown' WHEN a.quality = 1 AND b.quality = 1 THEN 'kept' WHEN a.quality = 1 THEN 'lost' WHEN b.quality = 1 THEN 'gained' ELSE 'neither' END AS state
@@ -215,3 +253,5 @@ QUERIES, ORACLES = registered(
         "gt25_pool_validation": pool_validation,
     }
 )
+
+QUERIES |= {"jn20_switch_pairs": switch_partners}
